@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrow.llm.bytescan import texts_of
 from tallyrow.llm.common import documents, ship
-from tallyrow.llm.token_files import texts_of
 from tallyrow.llm.tokens import END, crc, default_path, encoder
 
 WINDOW = 4096

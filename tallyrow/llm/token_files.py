@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyrow.llm.bytescan import texts_of
 from tallyrow.llm.common import documents, scratch, ship
 from tallyrow.llm.tokens import END, crc, default_path, encoder
 
@@ -32,16 +33,6 @@ ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> tuple[memoryview, np.ndarray]:
-    """UTF-8 bytes and offsets of a string column; null: empty."""
-    texts = batch.column(column).cast(pa.large_string()).fill_null("")
-    if texts.offset:
-        texts = pa.concat_arrays([texts])
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
-    data = texts.buffers()[2]
-    return memoryview(data)[: offsets[-1]] if data is not None else memoryview(b""), offsets
-
-
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)

@@ -17,6 +17,8 @@ import zlib
 
 import numpy as np
 
+from tallyrow.llm.bytescan import groups, hash_group, spans
+
 #: Pieces and words kept by an Encoder; beyond that the table starts anew.
 PIECES = 3_000_000
 WORDS = 300_000
@@ -28,7 +30,8 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # Below U+0250 there is nothing to compose, and these are all the letters and numbers once lower-cased.
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*").fullmatch
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f\u2c65\u2c66]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u024f\u2c65\u2c66]+").findall
-_GROUP = 1 << 20
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 13, 32]] = True
 
 _made: dict[str, "Encoder"] = {}
 
@@ -64,12 +67,6 @@ class Encoder:
         self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and splits == [SPLIT] and said["model"]["type"] == "BPE"
         del said
         self.most = pieces
-        random = np.random.default_rng(20240229)
-        self.byte = random.integers(0, 1 << 64, 256, np.uint64, endpoint=False) | np.uint64(1)
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.powers = np.ones(0, np.uint64)
-        self.white = np.zeros(256, bool)
-        self.white[[9, 10, 13, 32]] = True
         # The byte-level splitter shows printable bytes as themselves and the others as U+0100 and up.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
@@ -165,22 +162,12 @@ class Encoder:
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             return np.array([i for x in got for i in [*x, *[end] * tail]], np.uint32), bounds
         view = np.frombuffer(data, np.uint8)
-        ink = ~self.white[view]
-        edge = np.zeros(len(view) + 1, bool)
-        edge[offsets] = True
-        before = np.concatenate([[False], ink[:-1]]) if len(view) else ink
-        starts = np.flatnonzero(ink & (~before | edge[:-1]))
-        after = np.concatenate([ink[1:], [False]]) if len(view) else ink
-        ends = np.flatnonzero(ink & (~after | edge[1:])) + 1
-        cut = np.searchsorted(starts, offsets)
+        starts, ends, cut = spans(view, offsets, _WHITE)
         parts, sizes = [], [np.zeros(0, np.int64)]
-        lo = 0
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _GROUP)))
+        for lo, hi in groups(starts):
             ids, size = self._group(memoryview(data), view, starts[lo:hi], ends[lo:hi])
             parts.append(ids)
             sizes.append(size)
-            lo = hi
         flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         upto = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[cut]
         bounds = upto + np.arange(n + 1) * tail
@@ -194,7 +181,7 @@ class Encoder:
         return out, bounds
 
     def _group(self, data: memoryview, view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = self._mix(view, starts, ends)
+        h = hash_group(view, starts, ends) | np.uint64(1)
         row = self._find(h)
         if len(new := np.flatnonzero(row < 0)):
             if self.known + len(new) > self.most:
@@ -209,18 +196,6 @@ class Encoder:
         at += np.arange(len(at))
         return self.ids[at].astype(np.uint32), size
 
-    def _mix(self, view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        a, b = int(starts[0]), int(ends[-1])
-        if len(self.powers) < b - a:
-            self.powers = np.cumprod(np.full(max(2 * _GROUP, b - a), self.base, np.uint64))
-            self.inverse = np.cumprod(np.full(len(self.powers), np.uint64(pow(int(self.base), -1, 1 << 64)), np.uint64))
-        upto = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(self.byte[view[a:b]] * self.powers[: b - a], out=upto[1:])
-        # A piece's sum divided by the power at its start, so that it is the same wherever the piece stands.
-        h = (upto[ends - a] - upto[starts - a]) * self.inverse[starts - a]
-        h ^= h >> np.uint64(29)
-        return (h * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
-
     def encode(self, text: str | None, end: int | None = END) -> np.ndarray:
         data = (text or "").encode()
         return self.encode_batch(data, np.array([0, len(data)]), end)[0]
