@@ -24,11 +24,10 @@ _powers = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 def texts_of(batch: pa.RecordBatch, column: str) -> tuple[memoryview, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null: empty."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")
-    if texts.offset:
-        texts = pa.concat_arrays([texts])
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
-    data = texts.buffers()[2]
-    return memoryview(data)[: offsets[-1]] if data is not None else memoryview(b""), offsets
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = memoryview(data if data is not None else b"")[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
 
 
 def spans(view: np.ndarray, offsets: np.ndarray, white: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,11 +1,12 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
-A text's set: distinct shingles of three lower-cased words (64-bit hashes). Two sets
-link when their Jaccard similarity is at least 0.9.
+A text's set: distinct shingles of lower-cased words (64-bit hashes; three words unless
+said otherwise). Two sets link when their Jaccard similarity is at least 0.9, or another
+threshold g.
 
 1. summaries(): size and a 64-bit identity of each set; texts with equal sets are one
    class, and only a representative goes on.
-2. signatures(): sizes fall into bands whose ends are a factor 0.9 apart, so linked sets
+2. signatures(): sizes fall into bands whose ends are a factor g apart, so linked sets
    are in the same band or in neighbouring ones; each set is signed for its own band and
    the next. In a band linked sets differ in at most k elements. The domain (the range
    of hashes) is cut into n1 parts, each into N2 cells; some part has at most K2
@@ -38,9 +39,8 @@ from pyspark.sql import functions as F
 from tallyrow.llm.bytescan import LOWER, hashes, mix, spans, texts_of
 from tallyrow.llm.common import BROADCAST_ROWS, documents, join_small, ship, staged
 
-#: Jaccard similarity at least NUMERATOR / 100.
-NUMERATOR = 90
-WORDS = 3
+#: Words of a shingle, and the least Jaccard similarity in hundredths.
+WORDS, PERCENT = 3, 90
 N2, K2 = 2, 1
 #: Parts beyond what the differences need.
 SPARE = 2
@@ -52,34 +52,39 @@ ROUNDS = 2
 _CHOICES = list(combinations(range(N2), N2 - K2))
 
 
-def shingle_sets(data: memoryview, offsets: np.ndarray) -> Iterator[np.ndarray]:
+def _chain(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
+    x = mix(h[: len(h) - words + 1] + np.uint64(words))
+    for j in range(1, words):
+        x = mix(x + h[j : len(h) - words + 1 + j])
+    return x
+
+
+def shingle_sets(data: memoryview, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
     view = LOWER[np.frombuffer(data, np.uint8)]
     starts, ends, cut = spans(view, offsets)
     h = hashes(view, starts, ends)
-    three = mix(mix(h[:-2] + np.uint64(1)) + h[1:-1])
-    three = mix(three + h[2:]) if len(h) > 2 else np.zeros(0, np.uint64)
+    runs = _chain(h, words) if len(h) >= words else np.zeros(0, np.uint64)
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a >= WORDS:
-            yield np.unique(three[a : b - WORDS + 1])
-        elif b > a:
-            yield mix(mix(h[a : a + 1] + np.uint64(b - a + 1)) + h[b - 1 : b])
+        if b - a >= words:
+            yield np.unique(runs[a : b - words + 1])
         else:
-            yield np.zeros(0, np.uint64)
+            yield _chain(h[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
 def identity(s: np.ndarray) -> int:
     return int(mix((mix(s).sum(dtype=np.uint64) + np.uint64(len(s)))[None])[0].astype(np.int64))
 
 
-def bands(limit: int) -> tuple[np.ndarray, np.ndarray]:
+def bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Last size of each band up to limit and one beyond, and the most differences in it and the one before."""
     ends, at = [], 1
     while not ends or ends[-1] < limit or len(ends) < 2:
-        ends.append(at * 100 // NUMERATOR)
+        ends.append(at * 100 // percent)
         at = ends[-1] + 1
-    ends.append(at * 100 // NUMERATOR)
-    return np.array(ends), np.array([2 * e * (100 - NUMERATOR) // (100 + NUMERATOR) for e in ends])
+    ends.append(at * 100 // percent)
+    return np.array(ends), np.array([2 * e * (100 - percent) // (100 + percent) for e in ends])
 
 
 def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -111,36 +116,46 @@ def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, sid = [], []
-        for s in shingle_sets(*texts_of(batch, "text")):
-            n.append(len(s))
-            sid.append(identity(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_th"), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "_th", "n_shingles", "sid"])
+def _summaries(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, n, sid = batch.slice(at, 500), [], []
+                for s in shingle_sets(*texts_of(part, "text"), words):
+                    n.append(len(s))
+                    sid.append(identity(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_th"), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "_th", "n_shingles", "sid"])
+
+    return run
+
+
+def _signed(words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, most = bands(1000, percent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sigs, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for s in shingle_sets(*texts_of(batch.slice(at, 500), "text"), words):
+                    if len(s):
+                        if len(s) > ends[-3]:
+                            ends, most = bands(2 * len(s), percent)
+                        sigs.append(signatures(s, ends, most))
+                        sids.append(np.full(len(sigs[-1]), identity(s)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(sids))], ["sig", "sid"])
 
+    return run
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends, most = bands(1000)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            sigs, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for s in shingle_sets(*texts_of(batch.slice(at, 500), "text")):
-                if len(s):
-                    if len(s) > ends[-3]:
-                        ends, most = bands(2 * len(s))
-                    sigs.append(signatures(s, ends, most))
-                    sids.append(np.full(len(sigs[-1]), identity(s)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(sids))], ["sig", "sid"])
 
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                got = list(shingle_sets(*texts_of(batch.slice(at, 500), "text"), words))
+                flat = np.concatenate([np.zeros(0, np.uint64), *got]).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in got])]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in got], pa.int64()), lists], ["sid", "s"])
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            got = list(shingle_sets(*texts_of(batch.slice(at, 500), "text")))
-            flat = np.concatenate([np.zeros(0, np.uint64), *got]).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in got])]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in got], pa.int64()), lists], ["sid", "s"])
+    return run
 
 
 def _only(texts: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -166,16 +181,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Summaries (doc_id, _th, n_shingles, sid), staged; and sid, component_id of the classes that hold several rows or are linked, staged."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").withColumn("_th", F.xxhash64("text"))
-    rows = staged(texts.mapInArrow(_summaries, f"doc_id {kind}, _th long, n_shingles long, sid long"), "summaries")
+    rows = staged(texts.mapInArrow(_summaries(words), f"doc_id {kind}, _th long, n_shingles long, sid long"), "summaries")
     reps = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("n_shingles").alias("n")), "classes")
     others = staged(rows.join(reps.filter("rows > 1").select("sid", "r"), "sid").filter("NOT (doc_id <=> r.doc_id AND _th = r._th)").select("doc_id", "_th").distinct(), "copies")
-    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed, "sig long, sid long").repartition("sig")
+    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long").repartition("sig")
     shared = signed.groupBy("sig").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b")).filter("_a != _b").select("sig")
     live = staged(signed.join(shared.hint("shuffle_hash"), "sig").distinct().join(reps.select("sid", "n"), "sid"), "live")
     del signed, shared
@@ -195,7 +210,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             right = left.select("sig", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("cx").alias("cy"))
         differ = F.col("cx") != F.col("cy") if step < ROUNDS else F.col("cx") < F.col("cy")
-        fits = 100 * F.least("nx", "ny") >= NUMERATOR * F.greatest("nx", "ny")
+        fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
         pairs = left.join(right, "sig").filter(differ & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -206,10 +221,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         tried = pairs if tried is None else tried.select("a", "b").union(pairs)
         wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("r.doc_id", "r._th")
-        sets = staged(_only(texts, staged(wanted, "wanted"), "left_semi").dropDuplicates(["doc_id", "_th"]).select("text").mapInArrow(_sets, "sid long, s array<long>"), "sets")
+        sets = staged(_only(texts, staged(wanted, "wanted"), "left_semi").dropDuplicates(["doc_id", "_th"]).select("text").mapInArrow(_sets(words), "sid long, s array<long>"), "sets")
         one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
         two = one.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        new = staged(two.filter(100 * F.col("i") >= NUMERATOR * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
+        new = staged(two.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
         links = new if links is None else links.union(new)
         if not new.isEmpty():
             comp = components(links)
@@ -223,16 +238,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, staged(member.join(label, "c").select("sid", "component_id"), "components")
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    rows, found = classes(docs)
+    rows, found = classes(docs, words, percent)
     out = join_small(rows, found, ["sid"], salt=F.col("_th") + F.coalesce(F.hash("doc_id"), F.lit(0)))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows that repeat an id one stays. Rows with an empty set stay."""
-    rows, found = classes(docs)
+    rows, found = classes(docs, words, percent)
     firsts = join_small(rows, found, ["sid"], salt=F.col("_th") + F.coalesce(F.hash("doc_id"), F.lit(0))).filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     drop = staged(firsts.select("doc_id", "_th").distinct(), "dropped")
     keyed = docs.withColumn("_th", F.xxhash64("text")) if "_th" not in docs.columns else docs
