@@ -82,14 +82,17 @@ class EliasFano:
         at = np.maximum(first, lo)
         stop = np.minimum(self._select(bucket, False) - bucket, hi)
         want = x & np.uint64((1 << self.l) - 1)
-        out = np.full(len(x), -1, np.int64)
+        out, end = np.full(len(x), -1, np.int64), stop.copy()
         left = np.flatnonzero(at < stop)
-        while len(left):
-            got = self._low(at[left])
-            out[left[got == want[left]]] = at[left[got == want[left]]]
-            left = left[got < want[left]]
-            at[left] += 1
+        while len(left):  # bisection: a frequent context has many successors in a bucket
+            mid = (at[left] + stop[left]) >> 1
+            less = self._low(mid) < want[left]
+            at[left[less]] = mid[less] + 1
+            stop[left[~less]] = mid[~less]
             left = left[at[left] < stop[left]]
+        some = np.flatnonzero(at < end)
+        hit = some[self._low(at[some]) == want[some]]
+        out[hit] = at[hit]
         return out
 
 
