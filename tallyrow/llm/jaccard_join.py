@@ -11,8 +11,7 @@ threshold g.
    the next. In a band linked sets differ in at most k elements. The domain (the range
    of hashes) is cut into n1 parts, each into N2 cells; some part has at most K2
    differences, so some choice of N2 - K2 of its cells has none: every choice is a
-   signature. With spare parts a set has more than k choices that aren't empty, and the
-   empty ones, shared by unrelated sets, can be left out without losing a link.
+   signature.
 3. Sets that share a signature are compared exactly, but not all with all: connectivity
    is what counts. First each member with one of a few leaders of its bucket; linked sets
    are contracted to components; then, in the buckets that still hold more than one
@@ -33,6 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +41,7 @@ from tallyrow.llm.common import BROADCAST_ROWS, documents, join_small, ship, sta
 
 #: Words of a shingle, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 3, 90
-N2, K2 = 2, 1
-#: Parts beyond what the differences need.
-SPARE = 2
+N2, K2 = 3, 1
 #: Leaders a large bucket's members are compared with, over all its signatures.
 LEADERS = 8
 #: Rounds of leaders before all remaining pairs.
@@ -97,22 +95,17 @@ def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
         if k == 0:  # equal sets only
             out.append(mix(sums[-1:] + np.uint64(i + 1)))
             continue
-        n1 = k // (K2 + 1) + 1 + SPARE
+        n1 = k // (K2 + 1) + 1
         cells = n1 * N2
         edges = np.array([(c << 64) // cells for c in range(1, cells)], np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-        cell, size = np.diff(sums[at]).reshape(n1, N2), np.diff(at).reshape(n1, N2)
+        cell = np.diff(sums[at]).reshape(n1, N2)
         part = mix(np.arange(n1, dtype=np.uint64) + np.uint64(i + 1 << 32))
-        got, filled = [], []
         for j, choice in enumerate(_CHOICES):
             x = part + np.uint64(j)
             for c in choice:
                 x = mix(x + cell[:, c])
-            got.append(x)
-            filled.append(size[:, list(choice)].sum(1) > 0)
-        x, ok = np.concatenate(got), np.concatenate(filled)
-        # k differences spoil at most k cells, so of more than k filled cells one is whole (for choices of one cell).
-        out.append(x[ok] if N2 - K2 == 1 and ok.sum() > k else x)
+            out.append(x)
     return np.concatenate(out)
 
 
@@ -190,10 +183,10 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     rows = staged(texts.mapInArrow(_summaries(words), f"doc_id {kind}, _th long, n_shingles long, sid long"), "summaries")
     reps = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("n_shingles").alias("n")), "classes")
     others = staged(rows.join(reps.filter("rows > 1").select("sid", "r"), "sid").filter("NOT (doc_id <=> r.doc_id AND _th = r._th)").select("doc_id", "_th").distinct(), "copies")
-    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long").repartition("sig")
+    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long").repartition("sig").persist(StorageLevel.DISK_ONLY)
     shared = signed.groupBy("sig").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b")).filter("_a != _b").select("sig")
     live = staged(signed.join(shared.hint("shuffle_hash"), "sig").distinct().join(reps.select("sid", "n"), "sid"), "live")
-    del signed, shared
+    signed.unpersist()
 
     links = tried = comp = None
     for step in range(ROUNDS + 1):
