@@ -1,4 +1,7 @@
 """All queries of the engine by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tallyrow.functions import colour
+from tallyrow.operators import aggregates, ordered, text
+
+QUERIES = aggregates.QUERIES | text.QUERIES | ordered.QUERIES | colour.QUERIES
+ORACLE = {k: q.oracle for k, q in QUERIES.items()}
