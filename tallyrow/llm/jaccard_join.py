@@ -17,6 +17,9 @@ threshold g.
    are contracted to components; then, in the buckets that still hold more than one
    component, with other leaders; at last all pairs across components that remain in a
    bucket. Every pair not compared is in one component by then, so no link is lost.
+   That last round takes one bucket of those with the same members; there a pair that
+   agrees in a whole part counts for the part's first choice alone, and a pair of one
+   band for that band alone.
 4. components(): alternating large-star and small-star steps, in tables.
 
 Nulls: a null text, or one without a word, has an empty set and links with nothing; a
@@ -85,15 +88,17 @@ def bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ends), np.array([2 * e * (100 - percent) // (100 + percent) for e in ends])
 
 
-def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Signatures of a set, for its band and the next."""
+def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set, whether each is for its own band (else for the next), and the hash of the part's cells left out; 0 for the first choice."""
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s), out=sums[1:])
-    band, out = int(np.searchsorted(ends, len(s))), []
+    band, out, rest, own = int(np.searchsorted(ends, len(s))), [], [], []
     for i in (band, band + 1):
         k = int(most[i])
         if k == 0:  # equal sets only
             out.append(mix(sums[-1:] + np.uint64(i + 1)))
+            rest.append(np.zeros(1, np.uint64))
+            own.append(np.full(1, i == band))
             continue
         n1 = k // (K2 + 1) + 1
         cells = n1 * N2
@@ -106,7 +111,12 @@ def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> np.ndarray:
             for c in choice:
                 x = mix(x + cell[:, c])
             out.append(x)
-    return np.concatenate(out)
+            y = np.zeros(n1, np.uint64)
+            for c in set(range(N2)) - set(choice) if j else ():
+                y = mix(y + cell[:, c]) | np.uint64(1)
+            rest.append(y)
+            own.append(np.full(n1, i == band))
+    return np.concatenate(out), np.concatenate(own), np.concatenate(rest)
 
 
 def _summaries(words: int):
@@ -127,14 +137,15 @@ def _signed(words: int, percent: int):
         ends, most = bands(1000, percent)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                sigs, sids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                signed, sids = [(np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64))], [np.zeros(0, np.int64)]
                 for s in shingle_sets(*texts_of(batch.slice(at, 500), "text"), words):
                     if len(s):
                         if len(s) > ends[-3]:
                             ends, most = bands(2 * len(s), percent)
-                        sigs.append(signatures(s, ends, most))
-                        sids.append(np.full(len(sigs[-1]), identity(s)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(sids))], ["sig", "sid"])
+                        signed.append(signatures(s, ends, most))
+                        sids.append(np.full(len(signed[-1][0]), identity(s)))
+                sig, own, rest = (np.concatenate(x) for x in zip(*signed, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(np.concatenate(sids)), pa.array(own), pa.array(rest.astype(np.int64))], ["sig", "sid", "own", "rest"])
 
     return run
 
@@ -174,6 +185,14 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _one_of_equal(members: DataFrame) -> DataFrame:
+    """One bucket of those with the same members (and bands), one of a first choice if there is any."""
+    bucket = members.groupBy("sig").agg(F.min("rest").alias("_r"), F.count("*").alias("_n"), *(F.sum(F.xxhash64("sid", "own", F.lit(i)).cast("decimal(38,0)")).alias(f"_h{i}") for i in range(2)))
+    first = F.when(F.col("_r") != 0, 1).otherwise(0)
+    kept = bucket.groupBy("_n", "_h0", "_h1").agg(F.min(F.struct(first.alias("late"), "sig")).alias("k")).select("k.sig")
+    return members.join(kept, "sig", "left_semi")
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Summaries (doc_id, _th, n_shingles, sid), staged; and sid, component_id of the classes that hold several rows or are linked, staged."""
     spark = docs.sparkSession
@@ -183,8 +202,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     rows = staged(texts.mapInArrow(_summaries(words), f"doc_id {kind}, _th long, n_shingles long, sid long"), "summaries")
     reps = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("n_shingles").alias("n")), "classes")
     others = staged(rows.join(reps.filter("rows > 1").select("sid", "r"), "sid").filter("NOT (doc_id <=> r.doc_id AND _th = r._th)").select("doc_id", "_th").distinct(), "copies")
-    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long").repartition("sig").persist(StorageLevel.DISK_ONLY)
-    shared = signed.groupBy("sig").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b")).filter("_a != _b").select("sig")
+    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long, own boolean, rest long").repartition("sig").persist(StorageLevel.DISK_ONLY)
+    shared = signed.groupBy("sig").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b"), F.max("own").alias("_o")).filter("_a != _b AND _o").select("sig")
     live = staged(signed.join(shared.hint("shuffle_hash"), "sig").distinct().join(reps.select("sid", "n"), "sid"), "live")
     signed.unpersist()
 
@@ -193,16 +212,18 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         if comp is None:
             open_ = live.withColumn("comp", F.col("sid"))
         else:
-            open_ = live.join(comp, live.sid == comp.node, "left").select("sig", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+            open_ = live.join(comp, live.sid == comp.node, "left").select("sig", "sid", "own", "rest", "n", F.coalesce("comp", "sid").alias("comp"))
             mixed = open_.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a != _b").select("sig")
             open_ = open_.join(mixed, "sig")
-        left = open_.select("sig", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        if step == ROUNDS:
+            open_ = _one_of_equal(open_)
+        left = open_.select("sig", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("own").alias("ox"), F.col("rest").alias("rx"))
         if step < ROUNDS:
             order = F.xxhash64("sid", F.pmod("sig", F.lit(LEADERS)), F.lit(step))
             right = open_.groupBy("sig").agg(F.min(F.struct(order, "sid", "n", "comp")).alias("l")).select("sig", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.comp").alias("cy"))
         else:
-            right = left.select("sig", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("cx").alias("cy"))
-        differ = F.col("cx") != F.col("cy") if step < ROUNDS else F.col("cx") < F.col("cy")
+            right = left.select("sig", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("cx").alias("cy"), F.col("ox").alias("oy"), F.col("rx").alias("ry"))
+        differ = F.col("cx") != F.col("cy") if step < ROUNDS else F.expr("cx < cy AND (ox OR oy) AND (rx = 0 OR rx != ry)")
         fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
         pairs = left.join(right, "sig").filter(differ & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
