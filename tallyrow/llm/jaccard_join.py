@@ -15,11 +15,9 @@ threshold g.
 3. Sets that share a signature are compared exactly, but not all with all: connectivity
    is what counts. First each member with one of a few leaders of its bucket; linked sets
    are contracted to components; then, in the buckets that still hold more than one
-   component, with other leaders; at last all pairs across components that remain in a
-   bucket. Every pair not compared is in one component by then, so no link is lost.
-   That last round takes one bucket of those with the same members; there a pair that
-   agrees in a whole part counts for the part's first choice alone, and a pair of one
-   band for that band alone.
+   component, with other leaders; what is open then goes to remaining(), which finds
+   the links across components without making all pairs of a bucket. Every pair not
+   compared is in one component by then or can't be linked, so no link is lost.
 4. components(): alternating large-star and small-star steps, in tables.
 
 Nulls: a null text, or one without a word, has an empty set and links with nothing; a
@@ -30,13 +28,13 @@ deduplicated() carries them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import LOWER, hashes, mix, spans, texts_of
@@ -47,7 +45,7 @@ WORDS, PERCENT = 3, 90
 N2, K2 = 3, 1
 #: Leaders a large bucket's members are compared with, over all its signatures.
 LEADERS = 8
-#: Rounds of leaders before all remaining pairs.
+#: Rounds of leaders before remaining().
 ROUNDS = 2
 
 _CHOICES = list(combinations(range(N2), N2 - K2))
@@ -88,16 +86,15 @@ def bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ends), np.array([2 * e * (100 - percent) // (100 + percent) for e in ends])
 
 
-def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of a set, whether each is for its own band (else for the next), and the hash of the part's cells left out; 0 for the first choice."""
+def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set, and whether each is for its own band (else for the next)."""
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s), out=sums[1:])
-    band, out, rest, own = int(np.searchsorted(ends, len(s))), [], [], []
+    band, out, own = int(np.searchsorted(ends, len(s))), [], []
     for i in (band, band + 1):
         k = int(most[i])
         if k == 0:  # equal sets only
             out.append(mix(sums[-1:] + np.uint64(i + 1)))
-            rest.append(np.zeros(1, np.uint64))
             own.append(np.full(1, i == band))
             continue
         n1 = k // (K2 + 1) + 1
@@ -111,12 +108,8 @@ def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> tuple[np.nd
             for c in choice:
                 x = mix(x + cell[:, c])
             out.append(x)
-            y = np.zeros(n1, np.uint64)
-            for c in set(range(N2)) - set(choice) if j else ():
-                y = mix(y + cell[:, c]) | np.uint64(1)
-            rest.append(y)
             own.append(np.full(n1, i == band))
-    return np.concatenate(out), np.concatenate(own), np.concatenate(rest)
+    return np.concatenate(out), np.concatenate(own)
 
 
 def _summaries(words: int):
@@ -137,15 +130,15 @@ def _signed(words: int, percent: int):
         ends, most = bands(1000, percent)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                signed, sids = [(np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64))], [np.zeros(0, np.int64)]
+                signed, sids = [(np.zeros(0, np.uint64), np.zeros(0, bool))], [np.zeros(0, np.int64)]
                 for s in shingle_sets(*texts_of(batch.slice(at, 500), "text"), words):
                     if len(s):
                         if len(s) > ends[-3]:
                             ends, most = bands(2 * len(s), percent)
                         signed.append(signatures(s, ends, most))
                         sids.append(np.full(len(signed[-1][0]), identity(s)))
-                sig, own, rest = (np.concatenate(x) for x in zip(*signed, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(np.concatenate(sids)), pa.array(own), pa.array(rest.astype(np.int64))], ["sig", "sid", "own", "rest"])
+                sig, own = (np.concatenate(x) for x in zip(*signed, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(np.concatenate(sids)), pa.array(own)], ["sig", "sid", "own"])
 
     return run
 
@@ -185,12 +178,75 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _one_of_equal(members: DataFrame) -> DataFrame:
-    """One bucket of those with the same members (and bands), one of a first choice if there is any."""
-    bucket = members.groupBy("sig").agg(F.min("rest").alias("_r"), F.count("*").alias("_n"), *(F.sum(F.xxhash64("sid", "own", F.lit(i)).cast("decimal(38,0)")).alias(f"_h{i}") for i in range(2)))
-    first = F.when(F.col("_r") != 0, 1).otherwise(0)
-    kept = bucket.groupBy("_n", "_h0", "_h1").agg(F.min(F.struct(first.alias("late"), "sig")).alias("k")).select("k.sig")
-    return members.join(kept, "sig", "left_semi")
+def _sets_of(texts: DataFrame, reps: DataFrame, sids: DataFrame, words: int) -> DataFrame:
+    """sid, s (its set) of the classes in sids, staged."""
+    wanted = staged(sids.distinct().join(reps, "sid").select("r.doc_id", "r._th"), "wanted")
+    return staged(_only(texts, wanted, "left_semi").dropDuplicates(["doc_id", "_th"]).select("text").mapInArrow(_sets(words), "sid long, s array<long>"), "sets")
+
+
+def remaining(open_: DataFrame, links: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b), staged, that join the components left in the buckets open_ (sig, sid, n, comp, _a: the bucket's least comp).
+
+    Buckets that share a component form a group, and one member of it is the pivot p. A
+    set x is coded by its difference from p, E(x). Two sets differ in
+    |E(x)| + |E(y)| - 2 |E(x) & E(y)| elements, so with W(x) = (100 + percent) |E(x)| -
+    (100 - percent) |x| they link just when 2 (100 + percent) |E(x) & E(y)| >= W(x) + W(y).
+
+    - A pair with W(x) + W(y) <= 0 links; then both link to the member of least W too.
+      Those links are made, one for each member, and all others lie within their component.
+    - Any other pair must share elements of its codes, at least
+      (W(x) + W(y)) / 2 (100 + percent) of them: codes are ordered by rarity in the group,
+      only the prefixes that this number and the least W of a partner leave are joined,
+      and the positions of the shared element bound what can follow.
+
+    Members of a large group of copies that are near but under the threshold differ from
+    p by edits of their own, which are in no other code: they make no pair.
+    """
+    d = 2 * (100 + percent)
+    groups = components(open_.filter("comp != _a").select(F.col("comp").alias("a"), F.col("_a").alias("b")))
+    members = staged(open_.select("sid", "n", "comp").distinct(), "members")
+    members = join_small(members, groups.withColumnRenamed("node", "_c").withColumnRenamed("comp", "g").withColumnRenamed("_c", "comp"), ["comp"])
+    members = staged(members.withColumn("g", F.coalesce("g", "comp")), "members")
+    if links is not None:
+        degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("deg"))
+        ranked = members.join(degree, "sid", "left")
+    else:
+        ranked = members.withColumn("deg", F.lit(0))
+    pivots = ranked.groupBy("g").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), "sid")).alias("p")).select("g", F.col("p.sid").alias("sid"))
+    sets = sets_of(members.select("sid"))
+    pivots = staged(pivots.join(sets, "sid").select("g", F.col("s").alias("p")), "pivots")
+    coded = join_small(members.join(sets, "sid"), pivots, ["g"], "inner", salt=F.col("sid"), limit=0)
+    coded = coded.select("g", "sid", "n", "comp", F.concat(F.array_except("s", "p"), F.array_except("p", "s")).alias("e"))
+    coded = staged(coded.withColumn("w", (100 + percent) * F.size("e").cast("long") - (100 - percent) * F.col("n")), "coded")
+
+    least = staged(coded.groupBy("g").agg(F.min(F.struct("w", "sid", "comp")).alias("z")).select("g", F.col("z.w").alias("w0"), F.col("z.sid").alias("s0"), F.col("z.comp").alias("c0")), "least")
+    near = join_small(coded.drop("e"), least, ["g"], "inner", salt=F.col("sid"))
+    sure = staged(near.filter("comp != c0 AND w + w0 <= 0").select(F.least("sid", "s0").alias("a"), F.greatest("sid", "s0").alias("b")), "sure")
+    inner = near.filter("comp = c0 OR w + w0 <= 0").select("comp", F.lit(True).alias("inside")).distinct()
+    placed = join_small(near, staged(inner, "inner"), ["comp"], salt=F.col("sid")).withColumn("inside", F.coalesce("inside", F.lit(False)))
+    placed = staged(placed, "placed")
+    outside = staged(placed.filter("NOT inside").groupBy("g").agg(F.min("w").alias("w1")), "outside")
+    placed = join_small(placed, outside, ["g"], "inner", salt=F.col("sid"))
+
+    ne = F.expr(f"(w + {100 - percent} * n) div {100 + percent}")  # size of the code
+    left_after = lambda other: F.col("ne") + 1 - F.greatest(F.lit(1), F.expr(f"cast(ceil((w + {other}) / {d}D) as bigint)"))
+    placed = placed.withColumn("ne", ne).withColumn("p1", left_after("w1")).withColumn("p0", F.when(F.col("inside"), F.col("p1")).otherwise(left_after("w0")))
+    placed = staged(placed.filter("p0 > 0").select("g", "sid", "n", "w", "ne", "inside", "p0", "p1", F.when(F.col("inside"), F.col("c0")).otherwise(F.col("comp")).alias("label")), "placed")
+    elements = coded.join(placed.select("sid"), "sid", "left_semi").select("g", "sid", F.explode("e").alias("e"))
+    common = elements.groupBy("g", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("sid")
+    seen = elements.join(common, ["g", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
+    prefix = seen.join(placed.drop("g"), "sid").withColumn("i", F.expr("ne - all + k")).filter("i <= p0").select("g", "e", "sid", "n", "w", "ne", "inside", "p1", "label", "i")
+    prefix = staged(prefix, "prefix")
+    x = prefix.filter("NOT inside").select("g", "e", *(F.col(c).alias(f"{c}x") for c in ("sid", "n", "w", "ne", "p1", "label", "i")))
+    y = prefix.select("g", "e", *(F.col(c).alias(f"{c}y") for c in ("sid", "n", "w", "ne", "p1", "label", "i", "inside")))
+    may = F.expr(f"""labelx != labely AND (insidey OR (sidx < sidy AND ix <= p1x AND iy <= p1y))
+        AND {d} * (1 + least(nex - ix, ney - iy)) >= wx + wy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)""")
+    pairs = staged(x.join(y, ["g", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
+    one = pairs.join(coded.select(F.col("sid").alias("sidx"), F.col("e").alias("ex"), F.col("w").alias("wx")), "sidx")
+    two = one.join(coded.select(F.col("sid").alias("sidy"), F.col("e").alias("ey"), F.col("w").alias("wy")), "sidy")
+    found = two.filter(d * F.size(F.array_intersect("ex", "ey")) >= F.col("wx") + F.col("wy")).select(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b"))
+    return staged(sure.union(found), "links")
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -202,45 +258,37 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     rows = staged(texts.mapInArrow(_summaries(words), f"doc_id {kind}, _th long, n_shingles long, sid long"), "summaries")
     reps = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("n_shingles").alias("n")), "classes")
     others = staged(rows.join(reps.filter("rows > 1").select("sid", "r"), "sid").filter("NOT (doc_id <=> r.doc_id AND _th = r._th)").select("doc_id", "_th").distinct(), "copies")
-    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long, own boolean, rest long").repartition("sig").persist(StorageLevel.DISK_ONLY)
+    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long, own boolean").repartition("sig").persist(StorageLevel.DISK_ONLY)
     shared = signed.groupBy("sig").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b"), F.max("own").alias("_o")).filter("_a != _b AND _o").select("sig")
-    live = staged(signed.join(shared.hint("shuffle_hash"), "sig").distinct().join(reps.select("sid", "n"), "sid"), "live")
+    live = staged(signed.join(shared.hint("shuffle_hash"), "sig").select("sig", "sid").distinct().join(reps.select("sid", "n"), "sid"), "live")
     signed.unpersist()
 
     links = tried = comp = None
     for step in range(ROUNDS + 1):
-        if comp is None:
-            open_ = live.withColumn("comp", F.col("sid"))
-        else:
-            open_ = live.join(comp, live.sid == comp.node, "left").select("sig", "sid", "own", "rest", "n", F.coalesce("comp", "sid").alias("comp"))
-            mixed = open_.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a != _b").select("sig")
-            open_ = open_.join(mixed, "sig")
+        open_ = live.withColumn("comp", F.col("sid"))
+        if comp is not None:
+            open_ = live.join(comp, live.sid == comp.node, "left").select("sig", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+        mixed = open_.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a != _b").select("sig", "_a")
+        open_ = staged(open_.join(mixed, "sig"), "open")
+        if open_.isEmpty():
+            break
         if step == ROUNDS:
-            open_ = _one_of_equal(open_)
-        left = open_.select("sig", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("own").alias("ox"), F.col("rest").alias("rx"))
-        if step < ROUNDS:
+            new = remaining(open_, links, lambda sids: _sets_of(texts, reps, sids, words), percent)
+        else:
             order = F.xxhash64("sid", F.pmod("sig", F.lit(LEADERS)), F.lit(step))
+            left = open_.select("sig", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
             right = open_.groupBy("sig").agg(F.min(F.struct(order, "sid", "n", "comp")).alias("l")).select("sig", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.comp").alias("cy"))
-        else:
-            right = left.select("sig", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("cx").alias("cy"), F.col("ox").alias("oy"), F.col("rx").alias("ry"))
-        differ = F.col("cx") != F.col("cy") if step < ROUNDS else F.expr("cx < cy AND (ox OR oy) AND (rx = 0 OR rx != ry)")
-        fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-        pairs = left.join(right, "sig").filter(differ & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
-            if step < ROUNDS:
-                continue
-            break
-        tried = pairs if tried is None else tried.select("a", "b").union(pairs)
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("r.doc_id", "r._th")
-        sets = staged(_only(texts, staged(wanted, "wanted"), "left_semi").dropDuplicates(["doc_id", "_th"]).select("text").mapInArrow(_sets(words), "sid long, s array<long>"), "sets")
-        one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
-        two = one.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        new = staged(two.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
-        links = new if links is None else links.union(new)
+            fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+            pairs = left.join(right, "sig").filter((F.col("cx") != F.col("cy")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            tried = pairs = staged(pairs, "pairs")
+            sets = _sets_of(texts, reps, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), words)
+            one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
+            two = one.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+            new = staged(two.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
         if not new.isEmpty():
+            links = new if links is None else links.union(new)
             comp = components(links)
     several = reps.select("sid", "least", "rows")
     if comp is None:

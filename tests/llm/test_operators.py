@@ -89,6 +89,13 @@ def test_jaccard_join(spark, empty):
             for at in rng.integers(0, len(c), rng.integers(0, 4)):
                 c[at] = "edited" + str(rng.integers(0, 9))
             texts.append(" ".join(c))
+    for width, variants in ((150, 70), (60, 40), (300, 40)):  # copies around the threshold, with edits of their own and shared ones
+        base = [f"g{width}v{x}" for x in range(width)]
+        for v in range(variants):
+            c = list(base)
+            for at in rng.integers(0, width, rng.integers(0, width // 12)):
+                c[at] = f"only{v}at{at}" if rng.random() < 0.7 else "shared" + str(rng.integers(0, 4))
+            texts.append(" ".join(c))
     rows = [*enumerate(texts), (None, texts[-1])]
     sets = {}
     for i, t in rows:
