@@ -11,7 +11,10 @@ threshold g.
    the next. In a band linked sets differ in at most k elements. The domain (the range
    of hashes) is cut into n1 parts, each into N2 cells; some part has at most K2
    differences, so some choice of N2 - K2 of its cells has none: every choice is a
-   signature.
+   signature. Choices without elements would bring unrelated sets together. So where they
+   are likely there are 2 spare() parts more than needed, linked sets agree in at least
+   2 spare() + 1 parts, and each set leaves out the spare() parts whose choices have fewest
+   elements: one part at least is left in both.
 3. Sets that share a signature are compared exactly, but not all with all: connectivity
    is what counts. First each member with one of a few leaders of its bucket; linked sets
    are contracted to components; then, in the buckets that still hold more than one
@@ -28,6 +31,7 @@ deduplicated() carries them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -44,7 +48,7 @@ from tallyrow.llm.common import BROADCAST_ROWS, documents, join_small, ship, sta
 WORDS, PERCENT = 3, 90
 N2, K2 = 3, 1
 #: Leaders a large bucket's members are compared with, over all its signatures.
-LEADERS = 8
+LEADERS = 1
 #: Rounds of leaders before remaining().
 ROUNDS = 2
 
@@ -86,6 +90,12 @@ def bands(limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ends), np.array([2 * e * (100 - percent) // (100 + percent) for e in ends])
 
 
+def spare(size: int, k: int) -> int:
+    """Parts a set of a band may leave out: about twice as many as are expected to have an empty choice."""
+    n1 = k // (K2 + 1) + 1
+    return math.ceil(2 * n1 * len(_CHOICES) * math.exp(-0.75 * size * (N2 - K2) / (n1 * N2))) if k >= 8 else 0
+
+
 def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set, and whether each is for its own band (else for the next)."""
     sums = np.zeros(len(s) + 1, np.uint64)
@@ -97,18 +107,24 @@ def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> tuple[np.nd
             out.append(mix(sums[-1:] + np.uint64(i + 1)))
             own.append(np.full(1, i == band))
             continue
-        n1 = k // (K2 + 1) + 1
+        out_of = spare(int(ends[i]), k)
+        n1 = k // (K2 + 1) + 1 + 2 * out_of
         cells = n1 * N2
         edges = np.array([(c << 64) // cells for c in range(1, cells)], np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
         cell = np.diff(sums[at]).reshape(n1, N2)
+        kept = np.arange(n1)
+        if out_of:
+            size = np.diff(at).reshape(n1, N2)
+            fewest = np.min([size[:, list(c)].sum(axis=1) for c in _CHOICES], axis=0)
+            kept = np.sort(np.argsort(fewest, kind="stable")[out_of:])
         part = mix(np.arange(n1, dtype=np.uint64) + np.uint64(i + 1 << 32))
         for j, choice in enumerate(_CHOICES):
             x = part + np.uint64(j)
             for c in choice:
                 x = mix(x + cell[:, c])
-            out.append(x)
-            own.append(np.full(n1, i == band))
+            out.append(x[kept])
+            own.append(np.full(len(kept), i == band))
     return np.concatenate(out), np.concatenate(own)
 
 
@@ -194,13 +210,15 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets_of: Callable[[Data
 
     - A pair with W(x) + W(y) <= 0 links; then both link to the member of least W too.
       Those links are made, one for each member, and all others lie within their component.
-    - Any other pair must share elements of its codes, at least
-      (W(x) + W(y)) / 2 (100 + percent) of them: codes are ordered by rarity in the group,
-      only the prefixes that this number and the least W of a partner leave are joined,
-      and the positions of the shared element bound what can follow.
-
-    Members of a large group of copies that are near but under the threshold differ from
-    p by edits of their own, which are in no other code: they make no pair.
+    - x is near if p holds percent of its elements or more. Any other pair of near sets
+      shares at least (W(x) + W(y)) / 2 (100 + percent) elements of its codes.
+    - A pair with a set that isn't near shares elements outside p: at least percent of x,
+      less those of x in p.
+
+    In both cases elements are ordered by rarity in the group, only the prefixes that this
+    number leaves are joined, and the positions of the shared element bound what can
+    follow. Members of a large group of copies that are near but under the threshold
+    differ from p by edits of their own, which no other member has: they make no pair.
     """
     d = 2 * (100 + percent)
     groups = components(open_.filter("comp != _a").select(F.col("comp").alias("a"), F.col("_a").alias("b")))
@@ -216,33 +234,42 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets_of: Callable[[Data
     sets = sets_of(members.select("sid"))
     pivots = staged(pivots.join(sets, "sid").select("g", F.col("s").alias("p")), "pivots")
     coded = join_small(members.join(sets, "sid"), pivots, ["g"], "inner", salt=F.col("sid"), limit=0)
-    coded = coded.select("g", "sid", "n", "comp", F.concat(F.array_except("s", "p"), F.array_except("p", "s")).alias("e"))
-    coded = staged(coded.withColumn("w", (100 + percent) * F.size("e").cast("long") - (100 - percent) * F.col("n")), "coded")
+    coded = coded.select("g", "sid", "n", "comp", F.array_except("s", "p").alias("a"), F.array_except("p", "s").alias("r")).withColumn("na", F.size("a").cast("long"))
+    coded = coded.withColumn("w", (100 + percent) * (F.col("na") + F.size("r")) - (100 - percent) * F.col("n")).withColumn("near", 100 * (F.col("n") - F.col("na")) >= percent * F.col("n"))
+    coded = staged(coded, "coded")
 
     least = staged(coded.groupBy("g").agg(F.min(F.struct("w", "sid", "comp")).alias("z")).select("g", F.col("z.w").alias("w0"), F.col("z.sid").alias("s0"), F.col("z.comp").alias("c0")), "least")
-    near = join_small(coded.drop("e"), least, ["g"], "inner", salt=F.col("sid"))
-    sure = staged(near.filter("comp != c0 AND w + w0 <= 0").select(F.least("sid", "s0").alias("a"), F.greatest("sid", "s0").alias("b")), "sure")
-    inner = near.filter("comp = c0 OR w + w0 <= 0").select("comp", F.lit(True).alias("inside")).distinct()
-    placed = join_small(near, staged(inner, "inner"), ["comp"], salt=F.col("sid")).withColumn("inside", F.coalesce("inside", F.lit(False)))
+    each = join_small(coded.drop("a", "r"), least, ["g"], "inner", salt=F.col("sid"))
+    sure = staged(each.filter("comp != c0 AND w + w0 <= 0").select(F.least("sid", "s0").alias("a"), F.greatest("sid", "s0").alias("b")), "sure")
+    inner = each.filter("comp = c0 OR w + w0 <= 0").select("comp", F.lit(True).alias("inside")).distinct()
+    placed = join_small(each, staged(inner, "inner"), ["comp"], salt=F.col("sid")).withColumn("inside", F.coalesce("inside", F.lit(False)))
     placed = staged(placed, "placed")
-    outside = staged(placed.filter("NOT inside").groupBy("g").agg(F.min("w").alias("w1")), "outside")
-    placed = join_small(placed, outside, ["g"], "inner", salt=F.col("sid"))
+    outside = staged(placed.filter("near AND NOT inside").groupBy("g").agg(F.min("w").alias("w1")), "outside")
+    placed = join_small(placed, outside, ["g"], salt=F.col("sid"))
 
     ne = F.expr(f"(w + {100 - percent} * n) div {100 + percent}")  # size of the code
     left_after = lambda other: F.col("ne") + 1 - F.greatest(F.lit(1), F.expr(f"cast(ceil((w + {other}) / {d}D) as bigint)"))
-    placed = placed.withColumn("ne", ne).withColumn("p1", left_after("w1")).withColumn("p0", F.when(F.col("inside"), F.col("p1")).otherwise(left_after("w0")))
-    placed = staged(placed.filter("p0 > 0").select("g", "sid", "n", "w", "ne", "inside", "p0", "p1", F.when(F.col("inside"), F.col("c0")).otherwise(F.col("comp")).alias("label")), "placed")
-    elements = coded.join(placed.select("sid"), "sid", "left_semi").select("g", "sid", F.explode("e").alias("e"))
-    common = elements.groupBy("g", "e").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("sid")
-    seen = elements.join(common, ["g", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
-    prefix = seen.join(placed.drop("g"), "sid").withColumn("i", F.expr("ne - all + k")).filter("i <= p0").select("g", "e", "sid", "n", "w", "ne", "inside", "p1", "label", "i")
-    prefix = staged(prefix, "prefix")
-    x = prefix.filter("NOT inside").select("g", "e", *(F.col(c).alias(f"{c}x") for c in ("sid", "n", "w", "ne", "p1", "label", "i")))
-    y = prefix.select("g", "e", *(F.col(c).alias(f"{c}y") for c in ("sid", "n", "w", "ne", "p1", "label", "i", "inside")))
-    may = F.expr(f"""labelx != labely AND (insidey OR (sidx < sidy AND ix <= p1x AND iy <= p1y))
-        AND {d} * (1 + least(nex - ix, ney - iy)) >= wx + wy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)""")
-    pairs = staged(x.join(y, ["g", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
+    placed = staged(placed.withColumn("ne", ne).withColumn("p1", F.when(F.col("near"), left_after("w1"))), "placed")
+    partner = staged(placed.filter("inside AND p1 > 0").groupBy("g").agg(F.min("w").alias("w2")), "partners")  # of those inside that can have one
+    placed = join_small(placed, partner, ["g"], salt=F.col("sid")).withColumn("p0", F.when(F.col("inside") | F.col("w2").isNull(), F.col("p1")).otherwise(left_after("w2")))
+    beyond = F.col("na") + 1 - F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100 - (n - na)"))
+    placed = placed.withColumn("p0", F.coalesce(F.greatest("p0", "p1"), F.lit(0))).withColumn("pa", beyond).withColumn("c", F.col("n") - F.col("na"))
+    placed = staged(placed.filter("p0 > 0 OR pa > 0").select("sid", "n", "w", "ne", "na", "c", "near", "inside", "p0", "p1", "pa", F.when(F.col("inside"), F.col("c0")).otherwise(F.col("comp")).alias("label")), "placed")
+    codes = [coded.filter("near").select("g", "sid", F.lit(True).alias("coded"), F.explode(F.concat("a", "r")).alias("e")), coded.select("g", "sid", F.lit(False).alias("coded"), F.explode("a").alias("e"))]
+    elements = codes[0].union(codes[1])
+    common = elements.groupBy("g", "coded", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("sid", "coded")
+    seen = elements.join(common, ["g", "coded", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
+    prefix = seen.join(placed, "sid").withColumn("i", F.expr("if(coded, ne, na) - all + k")).filter("i <= if(coded, p0, pa)")
+    prefix = staged(prefix.select("g", "coded", "e", "sid", "n", "w", "c", "near", "inside", "label", F.expr("if(coded, ne, na) - i").alias("rest"), F.expr("coded AND i <= p1").alias("short")), "prefix")
+    of = ("sid", "n", "w", "c", "near", "inside", "label", "rest", "short")
+    x = prefix.filter("if(coded, NOT inside, NOT near)").select("g", "coded", "e", *(F.col(c).alias(f"{c}x") for c in of))
+    y = prefix.select("g", "coded", "e", *(F.col(c).alias(f"{c}y") for c in of))
+    may = F.expr(f"""labelx != labely AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND if(coded,
+        (insidey OR (sidx < sidy AND shortx AND shorty)) AND {d} * (1 + least(restx, resty)) >= wx + wy,
+        (neary OR sidx < sidy) AND {100 + percent} * (1 + least(restx, resty) + least(cx, cy)) >= {percent} * (nx + ny))""")
+    pairs = staged(x.join(y, ["g", "coded", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
+    coded = coded.select("sid", "w", F.concat("a", "r").alias("e"))
     one = pairs.join(coded.select(F.col("sid").alias("sidx"), F.col("e").alias("ex"), F.col("w").alias("wx")), "sidx")
     two = one.join(coded.select(F.col("sid").alias("sidy"), F.col("e").alias("ey"), F.col("w").alias("wy")), "sidy")
     found = two.filter(d * F.size(F.array_intersect("ex", "ey")) >= F.col("wx") + F.col("wy")).select(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b"))
