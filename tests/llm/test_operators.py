@@ -183,6 +183,27 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_brings_neighbours_together(spark):
+    rng = np.random.default_rng(4)
+    texts = {}
+    for g in range(40):
+        base = [f"{a}{b}" for a, b in zip(rng.choice(list("bcdfghklmn"), 80), rng.integers(100 * g, 100 * g + 99, 80), strict=True)]
+        for k in range(5):
+            copy = list(base)
+            copy[int(rng.integers(0, 80))] = "edited"
+            texts[g * 5 + k] = " ".join(copy)
+    df = spark.createDataFrame([(int(i), texts[int(i)]) for i in rng.permutation(len(texts))], "doc_id long, text string")
+    shard = {r.doc_id: r.sequence_id >> 32 for r in packing.pack(df, window=512, shard_bytes=4096).collect()}
+    together = sum(len({shard[g * 5 + k] for k in range(5)}) == 1 for g in range(40))
+    assert len(set(shard.values())) >= 10 and together >= 38
+
+    e = tokens.encoder(path := tokens.default_path())
+    own = [e.encode(t).tolist() for t in texts.values()]
+    seen, docs, mean = packing.frequencies(packing.coded(df, path, 4096, tokens.END)[0], path, tokens.END)
+    assert {i: n for i, n in enumerate(seen.tolist()) if n} == Counter(i for x in own for i in set(x))
+    assert docs == len(own) and mean == pytest.approx(np.mean([len(x) for x in own]))
+
+
 def test_language_id(spark, docs, empty):
     words = {"en": "the of and with this house", "fr": "le la des avec maison été", "de": "der die und mit haus über"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation((words[v] + " ") .split() * 3)), v) for i, v in enumerate(list(words) * 40)]
