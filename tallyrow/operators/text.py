@@ -36,6 +36,8 @@ TOKENS = {
     "address": r"0x[0-9a-fA-F]+",
     "number": r"[0-9]{4,}",
 }
+#: The patterns as one, tried in their order at each place.
+ANY_TOKEN = "(?m)(" + "|".join(TOKENS.values()) + ")"
 SYSTEM_PATHS = ["/etc/", "/usr/", "/bin/", "/sbin/", "/boot/", "/sys/", "/proc/"]
 
 
@@ -45,6 +47,11 @@ def classify(text: str) -> str:
     return f"CASE WHEN {any_of(DENY)} THEN 'deny' WHEN {any_of(SENSITIVE)} THEN 'allow-once' ELSE 'allow-always' END"
 
 
+def token_kind(token: str) -> str:
+    """SQL: the pattern a match of ANY_TOKEN is of. An earlier one that fitted all of it would have been taken for it."""
+    return "CASE " + " ".join(f"WHEN MATCHES({token}, RX'\\A(?:{p})\\z') THEN '{k}'" for k, p in TOKENS.items()) + " END"
+
+
 _COMMANDS = "(SELECT c.conv_id, c.turn, CASE (c.conv_id + c.turn) % 6 WHEN 0 THEN 'rm -rf /' WHEN 1 THEN 'sudo ' || c.text WHEN 2 THEN 'drop  database x' WHEN 3 THEN 'git push origin feature' WHEN 4 THEN 'git push --force origin main' ELSE c.text END AS text FROM conversations c) AS p"
 _REPLIES = "(SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN ' allow_once ' WHEN 1 THEN 'Deny' WHEN 2 THEN 'allow always' WHEN 3 THEN 'allow' ELSE text END AS reply FROM conversations) AS p"
 _TOOLS = """(SELECT conv_id, turn, concat('say <tool>{"name":"t', CAST(turn AS STRING), '","n":', CAST(conv_id AS STRING), '}</tool> and <tool>bad</tool> ', text) AS text FROM conversations) AS p"""
@@ -55,8 +62,11 @@ QUERIES = {
     "literal_search_any_case": Query("SELECT doc_id, row, (length(line) - length(replace(lower(line), 'the', ''))) IDIV 3 AS matches FROM {lines} AS l WHERE contains(lower(line), 'the')"),
     # The group that took part.
     "regex_search": Query("SELECT doc_id, row, regexp_extract(line, RX'(\\w+)@(\\w+)', 2) AS found FROM {lines} AS l WHERE MATCHES(line, RX'(\\w+)@(\\w+)')"),
-    # What each token pattern finds.
-    "token_patterns": Query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, CAST(SIZE(regexp_extract_all(text, RX'{p}', 0)) AS BIGINT) AS n FROM documents WHERE MATCHES(text, RX'{p}')" for k, p in TOKENS.items() if k not in ("path", "ipv6"))),
+    # How often each token pattern is the first of the alternation to match.
+    "token_patterns": Query(
+        f"SELECT doc_id, kind, CAST(size(filter(kinds, x -> x = kind)) AS BIGINT) AS n FROM (SELECT doc_id, transform(regexp_extract_all(text, RX'{ANY_TOKEN}', 0), t -> {token_kind('t')}) AS kinds FROM documents) AS m LATERAL VIEW explode(array_distinct(kinds)) AS kind",
+        f"SELECT doc_id, kind, CAST(len(list_filter(kinds, lambda x: x = kind)) AS BIGINT) AS n FROM (SELECT doc_id, kinds, unnest(list_distinct(kinds)) AS kind FROM (SELECT doc_id, list_transform(regexp_extract_all(text, RX'{ANY_TOKEN}', 0), lambda t: {token_kind('t')}) AS kinds FROM documents) AS m) AS u",
+    ),
     "url_tokens": Query(f"SELECT page_id, CAST(SIZE(regexp_extract_all(html, RX'{TOKENS['url']}', 0)) AS BIGINT) AS links FROM pages"),
     # Links of the bracket and mail rules, the longest first.
     "mail_links": Query("SELECT doc_id, concat('mailto:', regexp_extract(text, RX'\\b\\w+@[\\w-]+(\\.[\\w-]+)+\\b', 0)) AS link FROM documents WHERE MATCHES(text, RX'\\b\\w+@[\\w-]+(\\.[\\w-]+)+\\b')"),

@@ -1,11 +1,13 @@
 """Each query against the same text on another engine, and fixtures with known results."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
 
 from tallyrow.catalogue import ORACLE, QUERIES
-from tallyrow.operators.text import classify
+from tallyrow.operators.text import TOKENS, classify
 from tallyrow.plans.query import TABLES, Query
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +39,23 @@ def test_risk(spark, text, decision):
     assert spark.sql(q.text(0)).first().d == decision
 
 
+def test_token_patterns_in_order(spark, tmp_path):
+    texts = ["see /usr/lib/x.so and src/a.rs", "fe80::1ff:fe23:4567:890a up", "[a](http://x.y/z) http://q.r/s", "deadbeef12 0xff 12345 10.0.0.1 #ffaa00", "--- a/x/y\n+++ b/x/z", "sha256:" + "0f" * 32, "123e4567-e89b-12d3-a456-426614174000 Qm" + "a1" * 22, None, "none"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    alternation = re.compile("(?m)" + "|".join(f"(?P<{k}>{p})" for k, p in TOKENS.items()), re.ASCII)
+    for i, t in enumerate(texts):
+        for m in alternation.finditer(t or ""):
+            kind = next(k for k in TOKENS if m[k] is not None)
+            want[i, kind] = want.get((i, kind), 0) + 1
+    q = QUERIES["token_patterns"]
+    assert {(r.doc_id, r.kind): r.n for r in q(spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {(i, k): n for i, k, n in con.execute(q.oracle).fetchall()} == want
+    assert {(0, "path"), (1, "ipv6"), (3, "sha"), (3, "ip")} <= set(want) and (6, "number") not in want
+
+
 def test_frecency_decays(spark):
     spark.createDataFrame([(1, 0), (1, 259200000)], "k int, ms long").createOrReplaceTempView("accesses")
     assert spark.sql("SELECT sum(power(2.0, -(259200000 - ms) / 259200000.0)) AS s FROM accesses").first().s == pytest.approx(1.5)
