@@ -11,7 +11,8 @@ TEMPLATES are short notices with mandatory key phrases. Steps:
    for the offset of text place minus template place; offsets are pooled in overlapping
    bins of 16 words, so an inserted word doesn't lose a notice.
 3. Where the votes reach half of a template's IDF, the text is read again and a key
-   phrase of the template must stand in the words at that offset.
+   phrase of the template must stand in the words at that offset. A notice that goes on
+   where another ends (LONGER) takes its place.
 
 The base labels are the phrases in BASE, wherever their words stand consecutively.
 
@@ -41,7 +42,7 @@ TEMPLATES = [
     ("agpl", "under the terms of the gnu affero general public license", ["gnu affero general public license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
     ("mit", "released under the mit license", ["mit license"]),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted neither the name of the copyright holder", ["neither the name"]),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name"]),
     ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0", "mozilla public license version 2 0"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["for any purpose with or without fee is hereby granted"]),
@@ -52,6 +53,9 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
 ]
 
+#: A notice that begins like another and goes on: its label, and the label of the other, not given at the same place.
+LONGER = {"bsd-3-clause": "bsd-2-clause"}
+
 RARE = 10
 SURE = 4
 BIN = 8
@@ -108,7 +112,10 @@ def scan(docs: DataFrame) -> DataFrame:
     keys = "CASE x.t " + " ".join(f"WHEN {t} THEN array({', '.join(repr(' ' + k + ' ') for k in keys)})" for t, (_, _, keys) in enumerate(TEMPLATES)) + " END"
     sizes = "CASE x.t " + " ".join(f"WHEN {t} THEN {len(notice.split())}" for t, (_, notice, _) in enumerate(TEMPLATES)) + " END"
     near = f"concat(' ', array_join(slice(_w, greatest(x.bin * {BIN}, 0) + 1, {sizes} + {3 * BIN}), ' '), ' ')"
-    found = both.select(*_KEY, F.explode(F.expr(f"filter(cands, x -> exists({keys}, k -> contains({near}, k)))")).alias("x"))
+    sure = both.select(*_KEY, F.expr(f"filter(cands, x -> exists({keys}, k -> contains({near}, k)))").alias("sure"))
+    numbers = {label: t for t, (label, _, _) in enumerate(TEMPLATES)}
+    part = " OR ".join(f"x.t = {numbers[b]} AND exists(sure, y -> y.t = {numbers[a]} AND abs(x.bin - y.bin) <= 2)" for a, b in LONGER.items())
+    found = sure.select(*_KEY, F.explode(F.expr(f"filter(sure, x -> NOT ({part}))")).alias("x"))
     label = F.element_at(F.array(*(F.lit(x) for x, _, _ in TEMPLATES)), F.col("x.t") + 1)
     return staged(found.select(*_KEY, label.alias("label"), "x.share", F.expr(f"greatest(x.bin * {BIN}, 0)").cast("long").alias("at")), "licences")
 

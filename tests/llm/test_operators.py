@@ -128,6 +128,28 @@ def test_licenses(docs, empty):
     assert licenses.licenses(empty).count() == 0
 
 
+_BSD = "Copyright (c) 2019, A. Nother\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+_THIRD = "{}Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+NOTICES = [
+    (_BSD.format("1. ", "2. ") + _THIRD.format("3. ", "the copyright holder") + _AS_IS, "bsd-3-clause"),
+    (_BSD.format("* ", "* ") + _THIRD.format("* ", "Example Inc.") + _AS_IS, "bsd-3-clause"),
+    (_BSD.format("1. ", "2. ") + _AS_IS, "bsd-2-clause"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies.", "isc"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+]
+
+
+def test_license_notices(spark):
+    rows = [(i, f"{' '.join(f'word{j}' for j in range(100 * (i % 2)))} {t}") for i, (t, _) in enumerate(NOTICES * 2)]
+    rows += [(1000 + i, f"the quick text of number{i} and of the others in it") for i in range(200)]
+    got = {r.doc_id: r.labels for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(2 * len(NOTICES))] == [x for _, x in NOTICES * 2]
+    assert all(got[1000 + i] == "" for i in range(200))
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, shards=3, parts=2).collect()
     want = sorted(((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ROWS), key=str)
