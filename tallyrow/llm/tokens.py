@@ -5,7 +5,8 @@ below (its normaliser and splitter are read and compared), no token spans white
 so the ids of a text are those of its white-space pieces in turn. Pieces repeat: each
 one goes through the library's normaliser, splitter and model once, and is found again
 by a 64-bit hash of its bytes, computed for a whole batch at a time. The table of pieces
-is bounded and starts anew when full. Any other file is encoded text by text.
+is bounded and starts anew when full. Any other file is encoded text by text, and so is a
+text that may hold the string of an added token, for the library looks for those first.
 """
 
 from __future__ import annotations
@@ -60,11 +61,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         said = json.loads(self.model.to_str())
         kinds = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (said.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
         self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and splits == [SPLIT] and said["model"]["type"] == "BPE"
+        # Added tokens are sought in the normalised text. Their last two characters, if marks of ASCII, are in the text itself then.
+        ends = {x["content"][-2:] for x in said.get("added_tokens", [])}
+        self.by_piece &= all(re.fullmatch(r"[!-/:-@\[-`{-~]{2}", x) for x in ends)
+        self.added = re.compile("|".join(re.escape(x) for x in sorted(ends)).encode()) if ends else None
         del said
         self.most = pieces
         # The byte-level splitter shows printable bytes as themselves and the others as U+0100 and up.
@@ -154,13 +158,31 @@ class Encoder:
 
     def encode_batch(self, data: bytes | memoryview, offsets: np.ndarray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of the texts data[offsets[i]:offsets[i + 1]], each with the end id, and their offsets."""
+        if not self.by_piece:
+            return self._whole(data, offsets, end)
+        if self.added is None or not self.added.search(data):
+            return self._pieces(data, offsets, end)
+        at = np.array([m.start() for m in self.added.finditer(data)])
+        flat, sizes, done = [], [], 0
+        for i in [*np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist(), len(offsets) - 1]:
+            for own, run in ((offsets[done : i + 1], self._pieces), (offsets[i : i + 2], self._whole)):
+                if len(own) > 1:
+                    ids, bounds = run(data[own[0] : own[-1]], own - own[0], end)
+                    flat.append(ids)
+                    sizes.append(np.diff(bounds))
+            done = i + 1
+        return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _whole(self, data: bytes | memoryview, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Each text by the library."""
+        tail = [] if end is None else [end]
+        got = [self.model.encode(bytes(data[a:b]).decode(), add_special_tokens=False).ids + tail for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)])
+        return np.array([i for x in got for i in x], np.uint32), bounds
+
+    def _pieces(self, data: bytes | memoryview, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         tail = 0 if end is None else 1
-        if not self.by_piece:
-            got = [self.model.encode(bytes(data[a:b]).decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            sizes = np.array([len(x) + tail for x in got], np.int64)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            return np.array([i for x in got for i in [*x, *[end] * tail]], np.uint32), bounds
         view = np.frombuffer(data, np.uint8)
         starts, ends, cut = spans(view, offsets, _WHITE)
         parts, sizes = [], [np.zeros(0, np.int64)]

@@ -168,9 +168,19 @@ def test_sharding_splits_a_hot_group(spark):
 
 
 def test_encoder_is_the_library():
-    e = tokens.encoder(tokens.default_path())
-    for t in [t or "" for t in TEXTS] + ["İ ΑΣ ας 'S it'S", "x́ ́y", "<|endoftext|> hi", "\x0b\x0c w\x85x \x01\x7f", "日本語 don't ½ ² 🎉x", "a" * 3000]:
-        assert e.encode(t)[:-1].tolist() == e.model.encode(t, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_path())
+    e = tokens.Encoder(tokens.default_path())
+    texts = [t or "" for t in TEXTS] + ["İ ΑΣ ας 'S it'S", "x́ ́y", "\x0b\x0c w\x85x \x01\x7f", "日本語 don't ½ ² 🎉x", "a" * 3000]
+    texts += ["<|endoftext|> hi", "a<|startoftext|>b <|ENDOFTEXT|> c", "<|endoftext|>", "if a |> b", "plain", "x <|endoftext|> <|endoftext|>"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [e.encode(t)[:-1].tolist() for t in texts] == want
+    data = [t.encode() for t in texts]
+    for end in (None, tokens.END):
+        flat, bounds = e.encode_batch(memoryview(b"".join(data)), np.concatenate([[0], np.cumsum([len(x) for x in data])]), end)
+        tail = [] if end is None else [end]
+        assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [x + tail for x in want]
 
 
 def test_token_files(spark, docs, empty):
