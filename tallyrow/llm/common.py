@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 REPO = str(Path(__file__).resolve().parents[2])
 #: A table is broadcast only if it has at most so many rows (rows here are narrow: under 200 bytes).
 BROADCAST_ROWS = 200_000
+#: A bitmap of keys has 1 << BITMAP words of 64 bits, whatever the number of keys.
+BITMAP = 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +39,55 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends there, so a lost executor costs no recomputation."""
+    """df written as a table in the shared folder and read again: lineage ends there, so a lost executor costs no recomputation.
+
+    The table goes with discard(), at the latest when the driver ends.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    jpath, fs = _file_system(spark, path)
+    fs.deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "staged_at", None):
+            jpath, fs = _file_system(t.sparkSession, t.staged_at)
+            fs.delete(jpath, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name can clash; unpacked by select("_doc.*")."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("_doc")
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with _maybe: false if the row's key (a long hash) can't be among those of keys (staged).
+
+    The keys are put in a bitmap of 2 ** 24 bits, at most 1 << BITMAP rows of two longs,
+    which is what is broadcast whatever their number. More keys set more bits, so that
+    fewer rows are told apart; the exact join of the rows that are left decides.
+    """
+    word, bit = F.shiftrightunsigned(F.col(key), 64 - BITMAP), F.expr(f"shiftleft(1L, cast(`{key}` & 63L AS int))")
+    bitmap = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.join(F.broadcast(bitmap), word == F.col("_word"), "left")
+    return found.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
 
 
 def join_small(left: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salt: Column | None = None, salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:

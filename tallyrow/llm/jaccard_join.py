@@ -15,42 +15,55 @@ threshold g.
    are likely there are 2 spare() parts more than needed, linked sets agree in at least
    2 spare() + 1 parts, and each set leaves out the spare() parts whose choices have fewest
    elements: one part at least is left in both.
-3. Sets that share a signature are compared exactly, but not all with all: connectivity
-   is what counts. First each member with one of a few leaders of its bucket; linked sets
+3. shared(): signatures meet in one exchange of packed blocks. A task signs a set once
+   however many copies of it it reads, and a signature that many of its sets share is
+   known to be shared there: its members go straight on, dealt by set, with one mark for
+   the other tasks, so a hot signature isn't collected in one task.
+4. Sets that share a signature are compared exactly, but not all with all: connectivity
+   is what counts. First each member with the leader of its bucket; linked sets
    are contracted to components; then, in the buckets that still hold more than one
    component, with other leaders; what is open then goes to remaining(), which finds
    the links across components without making all pairs of a bucket. Every pair not
    compared is in one component by then or can't be linked, so no link is lost.
-4. components(): alternating large-star and small-star steps, in tables.
+5. components(): alternating large-star and small-star steps, in tables.
+
+Staged tables are deleted once nothing reads them.
 
 Nulls: a null text, or one without a word, has an empty set and links with nothing; a
 null id is carried, and its component is the smallest id of its class. Repeated rows are
 copies. An empty table gives an empty result. Extra columns are ignored;
-deduplicated() carries them.
+deduplicated() carries them, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import LOWER, hashes, mix, spans, texts_of
-from tallyrow.llm.common import BROADCAST_ROWS, documents, join_small, ship, staged
+from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, join_small, marked, packed, release, ship, staged
 
 #: Words of a shingle, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 3, 90
 N2, K2 = 3, 1
-#: Leaders a large bucket's members are compared with, over all its signatures.
-LEADERS = 1
 #: Rounds of leaders before remaining().
 ROUNDS = 2
+#: Signatures a task holds before it sends them on, and about how many make a shard.
+HELD = SHARD = 1 << 20
+#: A signature that so many of a task's sets share goes straight on.
+HOT = 16
+#: Elements of all pivots that may be broadcast.
+PIVOTS = 1 << 20
+#: Sets a task remembers to have signed.
+SEEN = 1 << 17
+#: Flags of a signature in a block: for the set's own band; its bucket is shared for certain; it is to go straight on.
+OWN, MARK, STRAIGHT = 1, 2, 4
 
 _CHOICES = list(combinations(range(N2), N2 - K2))
 
@@ -136,71 +149,130 @@ def _summaries(words: int):
                 for s in shingle_sets(*texts_of(part, "text"), words):
                     n.append(len(s))
                     sid.append(identity(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_th"), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["doc_id", "_th", "n_shingles", "sid"])
+                columns = [part.column("doc_id"), part.column("_th"), pa.array(n, pa.int64()), pa.array(sid, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_th", "n_shingles", "sid"])
 
     return run
 
 
-def _signed(words: int, percent: int):
+def _blocks(sig: np.ndarray, sid: np.ndarray, flag: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard; within it in the given order, so that a set's repeated number packs well."""
+    order = np.argsort(shard, kind="stable")
+    sig, sid, flag, shard = sig[order], sid[order], flag[order], shard[order]
+    ids, first = np.unique(shard, return_index=True)
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True))
+    columns = [pa.array(ids, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (sig, sid, flag))]
+    return pa.RecordBatch.from_arrays(columns, ["shard", "sig", "sid", "flag"])
+
+
+def _signed(words: int, percent: int, shards: int):
+    """Signatures of a task's sets as blocks."""
+
+    def by_sig(sig: np.ndarray) -> np.ndarray:
+        return ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sig, sid, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(sig, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0]))
+        many = np.diff(first, append=len(sig))
+        hot = np.zeros(len(sig), bool)
+        hot[order] = np.repeat(many >= HOT, many)
+        marks = order[first[many >= HOT]]
+        cold = np.flatnonzero(~hot)
+        hot = np.flatnonzero(hot)
+        take = np.concatenate([cold, marks, hot])
+        flag = np.concatenate([own[cold].astype(np.uint8), np.full(len(marks), MARK, np.uint8), np.full(len(hot), STRAIGHT, np.uint8)])
+        shard = np.concatenate([by_sig(sig[cold]), by_sig(sig[marks]), by_sig(mix(sid[hot].view(np.uint64)))])
+        return _blocks(sig[take], sid[take], flag, shard)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, most = bands(1000, percent)
+        held, size, seen = [], 0, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                signed, sids = [(np.zeros(0, np.uint64), np.zeros(0, bool))], [np.zeros(0, np.int64)]
                 for s in shingle_sets(*texts_of(batch.slice(at, 500), "text"), words):
-                    if len(s):
-                        if len(s) > ends[-3]:
-                            ends, most = bands(2 * len(s), percent)
-                        signed.append(signatures(s, ends, most))
-                        sids.append(np.full(len(signed[-1][0]), identity(s)))
-                sig, own = (np.concatenate(x) for x in zip(*signed, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(np.concatenate(sids)), pa.array(own)], ["sig", "sid", "own"])
+                    if not len(s) or (sid := identity(s)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sid)
+                    if len(s) > ends[-3]:
+                        ends, most = bands(2 * len(s), percent)
+                    sig, own = signatures(s, ends, most)
+                    held.append((sig, np.full(len(sig), sid), own))
+                    size += len(sig)
+                    if size >= HELD:
+                        yield flush(held)
+                        held, size = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a shard: sig, sid of the signatures that several sets have, one of them for its own band."""
+    sig, sid, flag = (
+        np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
+        for c, kind in (("sig", np.uint64), ("sid", np.int64), ("flag", np.uint8))
+    )
+    straight = flag == STRAIGHT
+    out = [(sig[straight], sid[straight])]
+    sig, sid, flag = sig[~straight], sid[~straight], flag[~straight]
+    if len(sig):
+        order = np.lexsort((sid, sig))
+        sig, sid, flag = sig[order], sid[order], flag[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(sig) != 0]))
+        many = np.diff(first, append=len(sig))
+        flags = np.bitwise_or.reduceat(flag, first)
+        live = ((sid[first] != sid[first + many - 1]) & (flags & OWN > 0)) | (flags & MARK > 0)
+        new = np.concatenate([[True], (np.diff(sig) != 0) | (np.diff(sid) != 0)])
+        keep = np.repeat(live, many) & new & (flag & MARK == 0)
+        out.append((sig[keep], sid[keep]))
+    sig, sid = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"sig": pa.array(sig.view(np.int64)), "sid": pa.array(sid)})
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 got = list(shingle_sets(*texts_of(batch.slice(at, 500), "text"), words))
                 flat = np.concatenate([np.zeros(0, np.uint64), *got]).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in got])]), pa.int32()), pa.array(flat))
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in got])])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in got], pa.int64()), lists], ["sid", "s"])
 
     return run
 
 
-def _only(texts: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of texts whose doc_id and _th are (left_semi) or aren't (left_anti) in keys, a staged table."""
-    k = keys.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"))
-    return texts.join(F.broadcast(k) if k.count() <= BROADCAST_ROWS else k, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), how)
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (its component's least node) of staged edges (a, b), a != b."""
+    """node, comp (its component's least node) of edges (a, b), a != b; staged.
+
+    The least neighbours are staged before they are joined, so that each side of the join
+    has an exchange of its own and a hub's edges can be split.
+    """
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     seen = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.filter("u != v").groupBy("u").agg(F.min("v").alias("m"))
-        small = large.filter("u != v").join(least, "u")
-        edges = staged(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).filter("u != v").distinct(), "star")
+        large = staged(large.filter("u != v").distinct(), "star-large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "star-low")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).filter("u != v")
+        old, edges = edges, staged(small.distinct(), "star")
+        discard(old, least, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out.staged_at = edges.staged_at
+            return out
         seen = now
 
 
-def _sets_of(texts: DataFrame, reps: DataFrame, sids: DataFrame, words: int) -> DataFrame:
-    """sid, s (its set) of the classes in sids, staged."""
-    wanted = staged(sids.distinct().join(reps, "sid").select("r.doc_id", "r._th"), "wanted")
-    return staged(_only(texts, wanted, "left_semi").dropDuplicates(["doc_id", "_th"]).select("text").mapInArrow(_sets(words), "sid long, s array<long>"), "sets")
-
-
-def remaining(open_: DataFrame, links: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), staged, that join the components left in the buckets open_ (sig, sid, n, comp, _a: the bucket's least comp).
 
     Buckets that share a component form a group, and one member of it is the pivot p. A
@@ -220,60 +292,110 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets_of: Callable[[Data
     follow. Members of a large group of copies that are near but under the threshold
     differ from p by edits of their own, which no other member has: they make no pair.
     """
-    d = 2 * (100 + percent)
+    d, made = 2 * (100 + percent), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(staged(df, name))
+        return made[-1]
+
     groups = components(open_.filter("comp != _a").select(F.col("comp").alias("a"), F.col("_a").alias("b")))
-    members = staged(open_.select("sid", "n", "comp").distinct(), "members")
+    members = keep(open_.select("sid", "n", "comp").distinct(), "members")
     members = join_small(members, groups.withColumnRenamed("node", "_c").withColumnRenamed("comp", "g").withColumnRenamed("_c", "comp"), ["comp"])
-    members = staged(members.withColumn("g", F.coalesce("g", "comp")), "members")
+    members = keep(members.withColumn("g", F.coalesce("g", "comp")), "members")
     if links is not None:
         degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("deg"))
         ranked = members.join(degree, "sid", "left")
     else:
         ranked = members.withColumn("deg", F.lit(0))
     pivots = ranked.groupBy("g").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), "sid")).alias("p")).select("g", F.col("p.sid").alias("sid"))
-    sets = sets_of(members.select("sid"))
-    pivots = staged(pivots.join(sets, "sid").select("g", F.col("s").alias("p")), "pivots")
-    coded = join_small(members.join(sets, "sid"), pivots, ["g"], "inner", salt=F.col("sid"), limit=0)
+    sets = keep(members.join(_these(sets, members), "sid").dropDuplicates(["sid"]), "open-sets")
+    release(sets.sparkSession)
+    pivots = keep(pivots.join(sets.select("sid", "s"), "sid").select("g", F.col("s").alias("p")), "pivots")
+    # The pivots are broadcast if all their elements together are few.
+    small = (pivots.agg(F.sum(F.size("p"))).first()[0] or 0) <= PIVOTS
+    coded = join_small(sets, pivots, ["g"], "inner", salt=F.col("sid"), limit=BROADCAST_ROWS if small else 0)
     coded = coded.select("g", "sid", "n", "comp", F.array_except("s", "p").alias("a"), F.array_except("p", "s").alias("r")).withColumn("na", F.size("a").cast("long"))
     coded = coded.withColumn("w", (100 + percent) * (F.col("na") + F.size("r")) - (100 - percent) * F.col("n")).withColumn("near", 100 * (F.col("n") - F.col("na")) >= percent * F.col("n"))
-    coded = staged(coded, "coded")
+    coded = keep(coded, "coded")
 
-    least = staged(coded.groupBy("g").agg(F.min(F.struct("w", "sid", "comp")).alias("z")).select("g", F.col("z.w").alias("w0"), F.col("z.sid").alias("s0"), F.col("z.comp").alias("c0")), "least")
+    least = keep(coded.groupBy("g").agg(F.min(F.struct("w", "sid", "comp")).alias("z")).select("g", F.col("z.w").alias("w0"), F.col("z.sid").alias("s0"), F.col("z.comp").alias("c0")), "least")
     each = join_small(coded.drop("a", "r"), least, ["g"], "inner", salt=F.col("sid"))
-    sure = staged(each.filter("comp != c0 AND w + w0 <= 0").select(F.least("sid", "s0").alias("a"), F.greatest("sid", "s0").alias("b")), "sure")
+    sure = keep(each.filter("comp != c0 AND w + w0 <= 0").select(F.least("sid", "s0").alias("a"), F.greatest("sid", "s0").alias("b")), "sure")
     inner = each.filter("comp = c0 OR w + w0 <= 0").select("comp", F.lit(True).alias("inside")).distinct()
-    placed = join_small(each, staged(inner, "inner"), ["comp"], salt=F.col("sid")).withColumn("inside", F.coalesce("inside", F.lit(False)))
-    placed = staged(placed, "placed")
-    outside = staged(placed.filter("near AND NOT inside").groupBy("g").agg(F.min("w").alias("w1")), "outside")
+    placed = join_small(each, keep(inner, "inner"), ["comp"], salt=F.col("sid")).withColumn("inside", F.coalesce("inside", F.lit(False)))
+    placed = keep(placed, "placed")
+    outside = keep(placed.filter("near AND NOT inside").groupBy("g").agg(F.min("w").alias("w1")), "outside")
     placed = join_small(placed, outside, ["g"], salt=F.col("sid"))
 
     ne = F.expr(f"(w + {100 - percent} * n) div {100 + percent}")  # size of the code
     left_after = lambda other: F.col("ne") + 1 - F.greatest(F.lit(1), F.expr(f"cast(ceil((w + {other}) / {d}D) as bigint)"))
-    placed = staged(placed.withColumn("ne", ne).withColumn("p1", F.when(F.col("near"), left_after("w1"))), "placed")
-    partner = staged(placed.filter("inside AND p1 > 0").groupBy("g").agg(F.min("w").alias("w2")), "partners")  # of those inside that can have one
+    placed = keep(placed.withColumn("ne", ne).withColumn("p1", F.when(F.col("near"), left_after("w1"))), "placed")
+    partner = keep(placed.filter("inside AND p1 > 0").groupBy("g").agg(F.min("w").alias("w2")), "partners")  # of those inside that can have one
     placed = join_small(placed, partner, ["g"], salt=F.col("sid")).withColumn("p0", F.when(F.col("inside") | F.col("w2").isNull(), F.col("p1")).otherwise(left_after("w2")))
     beyond = F.col("na") + 1 - F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100 - (n - na)"))
     placed = placed.withColumn("p0", F.coalesce(F.greatest("p0", "p1"), F.lit(0))).withColumn("pa", beyond).withColumn("c", F.col("n") - F.col("na"))
-    placed = staged(placed.filter("p0 > 0 OR pa > 0").select("sid", "n", "w", "ne", "na", "c", "near", "inside", "p0", "p1", "pa", F.when(F.col("inside"), F.col("c0")).otherwise(F.col("comp")).alias("label")), "placed")
+    placed = keep(placed.filter("p0 > 0 OR pa > 0").select("sid", "n", "w", "ne", "na", "c", "near", "inside", "p0", "p1", "pa", F.when(F.col("inside"), F.col("c0")).otherwise(F.col("comp")).alias("label")), "placed")
+    discard(sets, pivots)
+    release(sets.sparkSession)
     codes = [coded.filter("near").select("g", "sid", F.lit(True).alias("coded"), F.explode(F.concat("a", "r")).alias("e")), coded.select("g", "sid", F.lit(False).alias("coded"), F.explode("a").alias("e"))]
     elements = codes[0].union(codes[1])
     common = elements.groupBy("g", "coded", "e").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("sid", "coded")
     seen = elements.join(common, ["g", "coded", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
     prefix = seen.join(placed, "sid").withColumn("i", F.expr("if(coded, ne, na) - all + k")).filter("i <= if(coded, p0, pa)")
-    prefix = staged(prefix.select("g", "coded", "e", "sid", "n", "w", "c", "near", "inside", "label", F.expr("if(coded, ne, na) - i").alias("rest"), F.expr("coded AND i <= p1").alias("short")), "prefix")
+    prefix = keep(prefix.select("g", "coded", "e", "sid", "n", "w", "c", "near", "inside", "label", F.expr("if(coded, ne, na) - i").alias("rest"), F.expr("coded AND i <= p1").alias("short")), "prefix")
     of = ("sid", "n", "w", "c", "near", "inside", "label", "rest", "short")
     x = prefix.filter("if(coded, NOT inside, NOT near)").select("g", "coded", "e", *(F.col(c).alias(f"{c}x") for c in of))
     y = prefix.select("g", "coded", "e", *(F.col(c).alias(f"{c}y") for c in of))
     may = F.expr(f"""labelx != labely AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND if(coded,
         (insidey OR (sidx < sidy AND shortx AND shorty)) AND {d} * (1 + least(restx, resty)) >= wx + wy,
         (neary OR sidx < sidy) AND {100 + percent} * (1 + least(restx, resty) + least(cx, cy)) >= {percent} * (nx + ny))""")
-    pairs = staged(x.join(y, ["g", "coded", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
+    pairs = keep(x.join(y, ["g", "coded", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
     coded = coded.select("sid", "w", F.concat("a", "r").alias("e"))
     one = pairs.join(coded.select(F.col("sid").alias("sidx"), F.col("e").alias("ex"), F.col("w").alias("wx")), "sidx")
     two = one.join(coded.select(F.col("sid").alias("sidy"), F.col("e").alias("ey"), F.col("w").alias("wy")), "sidy")
     found = two.filter(d * F.size(F.array_intersect("ex", "ey")) >= F.col("wx") + F.col("wy")).select(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b"))
-    return staged(sure.union(found), "links")
+    out = staged(sure.union(found), "links")
+    discard(groups, *made)
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _th (hash of the text) and _k (hash of both)."""
+    rows = docs.select("doc_id", "text").withColumn("_th", F.xxhash64("text"))
+    return rows.withColumn("_k", F.xxhash64("doc_id", "_th"))
+
+
+def _these(sets: DataFrame, sids: DataFrame) -> DataFrame:
+    """The rows of sets that may be among sids (staged)."""
+    keys = sids.select(F.xxhash64("sid").alias("_k"))
+    return marked(sets.withColumn("_k", F.xxhash64("sid")), keys, "_k").filter("_maybe").select("sid", "s")
+
+
+def led(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), staged, of the buckets' members sid with their leaders y."""
+    fits = 100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")
+    pairs = staged(open_.filter((F.col("comp") != F.col("cy")) & fits).select("sid", "y").distinct(), "pairs")
+    # Leaders are few, so theirs is the small side; members of one leader can be split.
+    leaders = _these(sets, pairs.select(F.col("y").alias("sid"))).select(F.col("sid").alias("y"), F.col("s").alias("sy"))
+    both = pairs.join(_these(sets, pairs), "sid").join(leaders, "y").withColumn("i", F.size(F.array_intersect("s", "sy")))
+    both = both.filter(100 * F.col("i") >= percent * (F.size("s") + F.size("sy") - F.col("i")))
+    out = staged(both.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b")), "links")
+    discard(pairs)
+    return out
+
+
+def shared(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """sig, sid, n of the signatures that several classes share, staged."""
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    expected = total * 6.4 * (100 - percent) / (100 + percent)
+    shards = max(4, math.ceil(expected / SHARD))
+    blocks = texts.select("text").mapInArrow(_signed(words, percent, shards), "shard int, sig binary, sid binary, flag binary")
+    live = staged(blocks.groupBy("shard").applyInArrow(_shared, "sig long, sid long"), "shared")
+    out = staged(live.join(reps.select("sid", "n"), "sid"), "live")
+    discard(live)
+    release(texts.sparkSession)
+    return out
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -281,69 +403,99 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").withColumn("_th", F.xxhash64("text"))
-    rows = staged(texts.mapInArrow(_summaries(words), f"doc_id {kind}, _th long, n_shingles long, sid long"), "summaries")
-    reps = staged(rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("r"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("n_shingles").alias("n")), "classes")
-    others = staged(rows.join(reps.filter("rows > 1").select("sid", "r"), "sid").filter("NOT (doc_id <=> r.doc_id AND _th = r._th)").select("doc_id", "_th").distinct(), "copies")
-    signed = _only(texts, others, "left_anti").select("text").mapInArrow(_signed(words, percent), "sig long, sid long, own boolean").repartition("sig").persist(StorageLevel.DISK_ONLY)
-    shared = signed.groupBy("sig").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b"), F.max("own").alias("_o")).filter("_a != _b AND _o").select("sig")
-    live = staged(signed.join(shared.hint("shuffle_hash"), "sig").select("sig", "sid").distinct().join(reps.select("sid", "n"), "sid"), "live")
-    signed.unpersist()
-
-    links = tried = comp = None
+    texts = _keyed(docs)
+    rows = texts.select("doc_id", "text", "_th").mapInArrow(_summaries(words), f"doc_id {kind}, _th long, n_shingles long, sid long")
+    rows = staged(rows, "summaries")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("r")
+    reps = rows.filter("sid IS NOT NULL").groupBy("sid")
+    reps = staged(reps.agg(first, F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("n_shingles").alias("n")), "classes")
+    live = shared(texts, reps, words, percent)
+    # The sets of these classes, each from the text of its representative; a set may be there more than once, or not needed.
+    wanted = live.select("sid").distinct().join(reps, "sid").select("r.doc_id", "r._th")
+    wanted = staged(wanted.select(F.xxhash64("doc_id", "_th").alias("_k")), "wanted")
+    sets = marked(texts, wanted, "_k").filter("_maybe").select("text").mapInArrow(_sets(words), "sid long, s array<long>")
+    sets = staged(sets, "sets")
+    discard(wanted)
+
+    links = comp = None
+    held = []
     for step in range(ROUNDS + 1):
         open_ = live.withColumn("comp", F.col("sid"))
         if comp is not None:
             open_ = live.join(comp, live.sid == comp.node, "left").select("sig", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
-        mixed = open_.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a != _b").select("sig", "_a")
-        open_ = staged(open_.join(mixed, "sig"), "open")
-        if open_.isEmpty():
+        order = F.xxhash64("sid", F.lit(step))
+        bucket = open_.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min(F.struct(order, "sid", "n", "comp")).alias("l"))
+        bucket = bucket.filter("_a != _b").select("sig", "_a", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.comp").alias("cy"))
+        bucket = staged(bucket, "leaders")
+        if bucket.isEmpty():
+            discard(bucket)
             break
+        # What stays is the members of mixed buckets without their leaders, whose pairs are all compared in this round.
+        old, live = live, staged(open_.join(bucket, "sig").select("sig", "sid", "n", "comp", "_a", "y", "ny", "cy"), "live")
+        discard(old, bucket)
         if step == ROUNDS:
-            new = remaining(open_, links, lambda sids: _sets_of(texts, reps, sids, words), percent)
+            new = remaining(live.select("sig", "sid", "n", "comp", "_a"), links, sets, percent)
         else:
-            order = F.xxhash64("sid", F.pmod("sig", F.lit(LEADERS)), F.lit(step))
-            left = open_.select("sig", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            right = open_.groupBy("sig").agg(F.min(F.struct(order, "sid", "n", "comp")).alias("l")).select("sig", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.comp").alias("cy"))
-            fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-            pairs = left.join(right, "sig").filter((F.col("cx") != F.col("cy")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            tried = pairs = staged(pairs, "pairs")
-            sets = _sets_of(texts, reps, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), words)
-            one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
-            two = one.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-            new = staged(two.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
+            new = led(live, sets, percent)
+        held.append(new)
+        release(spark)
         if not new.isEmpty():
             links = new if links is None else links.union(new)
+            discard(comp)
             comp = components(links)
+        rest = live.filter("sid != y").select("sig", "sid", "n")
+        rest.staged_at = live.staged_at
+        live = rest
+    discard(live, sets, *held)
+    release(spark)
     several = reps.select("sid", "least", "rows")
     if comp is None:
-        return rows, staged(several.filter("rows > 1").select("sid", F.col("least").alias("component_id")), "components")
-    member = several.join(comp, several.sid == comp.node, "left").withColumn("c", F.coalesce("comp", "sid"))
-    linked = comp.select(F.col("comp").alias("c")).distinct().withColumn("linked", F.lit(True))
-    member = member.join(linked, "c", "left").filter("rows > 1 OR linked")
-    label = member.groupBy("c").agg(F.min("least").alias("component_id"))
-    return rows, staged(member.join(label, "c").select("sid", "component_id"), "components")
+        found = staged(several.filter("rows > 1").select("sid", F.col("least").alias("component_id")), "components")
+    else:
+        member = several.join(comp, several.sid == comp.node, "left").withColumn("c", F.coalesce("comp", "sid"))
+        linked = comp.select(F.col("comp").alias("c")).distinct().withColumn("linked", F.lit(True))
+        member = staged(member.join(linked, "c", "left").filter("rows > 1 OR linked").select("sid", "c", "least"), "members")
+        label = staged(member.groupBy("c").agg(F.min("least").alias("component_id")), "labels")
+        found = staged(member.join(label, "c").select("sid", "component_id"), "components")
+        discard(member, label, comp)
+    discard(reps)
+    return rows, found
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the component_id of their class, null for a class of one row without links."""
+    return join_small(rows, found, ["sid"], salt=F.col("_th") + F.coalesce(F.hash("doc_id"), F.lit(0)))
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    rows, found = classes(docs, words, percent)
-    out = join_small(rows, found, ["sid"], salt=F.col("_th") + F.coalesce(F.hash("doc_id"), F.lit(0)))
+    out = _labelled(*classes(docs, words, percent))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows that repeat an id one stays. Rows with an empty set stay."""
+    """docs with one row of each component: one with the smallest doc_id.
+
+    Rows with an empty set stay, as do those of a component without any doc_id. Rows that
+    can't be among the ones to go are told by a bitmap and not shuffled.
+    """
     rows, found = classes(docs, words, percent)
-    firsts = join_small(rows, found, ["sid"], salt=F.col("_th") + F.coalesce(F.hash("doc_id"), F.lit(0))).filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    drop = staged(firsts.select("doc_id", "_th").distinct(), "dropped")
-    keyed = docs.withColumn("_th", F.xxhash64("text")) if "_th" not in docs.columns else docs
-    kept = _only(keyed, drop, "left_anti")
-    again = staged(rows.groupBy("doc_id", "_th").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id", "_th"), "repeated")
-    once = _only(kept, again, "left_semi").dropDuplicates(["doc_id", "_th"])
-    return _only(kept, again, "left_anti").unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))
+    several = _labelled(rows, found).filter("component_id IS NOT NULL")
+    # A row of the smallest id stays; of several such rows the one of least hash.
+    own = several.groupBy("sid", "component_id", "doc_id", "_th").agg(F.count("*").alias("n"))
+    own = staged(own.withColumn("first", F.expr("coalesce(doc_id = component_id, false)")), "members")
+    keeper = own.filter("first").groupBy("component_id").agg(F.min("_th").alias("keeps"))
+    acts = own.join(keeper, "component_id").withColumn("stays", F.expr("first AND _th = keeps")).filter("NOT stays OR n > 1")
+    acts = acts.groupBy("doc_id", "_th").agg(F.max("stays").alias("stays")).withColumn("_k", F.xxhash64("doc_id", "_th"))
+    acts = staged(acts, "dropped")
+    discard(own, rows, found)
+    keyed = docs.select(packed(docs), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")).withColumn("_k", F.xxhash64("_id", "_th"))
+    seen = marked(keyed, acts, "_k")
+    a = acts.select(F.col("_k").alias("_ak"), F.col("doc_id").alias("_ai"), F.col("_th").alias("_at"), "stays")
+    same = (F.col("_k") == F.col("_ak")) & F.col("_id").eqNullSafe(F.col("_ai")) & F.col("_th").eqNullSafe(F.col("_at"))
+    asked = seen.filter("_maybe").join(a, same, "left")
+    kept = asked.filter("stays IS NULL").select("_doc").union(asked.filter("stays").dropDuplicates(["_k"]).select("_doc"))
+    return seen.filter("NOT _maybe").select("_doc").union(kept).select("_doc.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

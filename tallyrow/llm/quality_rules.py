@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrow.llm.common import documents, join_small, space_words, staged
+from tallyrow.llm.common import documents, join_small, packed, space_words, staged
 
 #: A group of fewer texts uses its language's sketch, a language of fewer the overall one.
 LEAST = 100
@@ -90,14 +90,12 @@ def sketches(metrics: DataFrame) -> DataFrame:
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source, and lo_ and hi_ of each metric."""
     spark = sketch.sparkSession
-    view = "tallyrow_sketch"
-    sketch.createOrReplaceTempView(view)
     value = "CASE WHEN bucket < 32 THEN bucket ELSE shiftleft(16 + bucket % 16, bucket div 16 - 1) END"
     quartiles = lambda keys, tag: f"""
       SELECT {keys} metric, max(total) AS n_{tag},
              min(CASE WHEN 4 * upto >= total THEN {value} END) AS a_{tag}, min(CASE WHEN 4 * upto >= 3 * total THEN {value} END) AS b_{tag}
       FROM (SELECT {keys} metric, bucket, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} metric) AS total
-            FROM (SELECT {keys} metric, bucket, sum(n) AS n FROM {view} GROUP BY {keys} metric, bucket))
+            FROM (SELECT {keys} metric, bucket, sum(n) AS n FROM {{sketch}} GROUP BY {keys} metric, bucket))
       GROUP BY {keys} metric"""
     floor = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in SPREADS.items()) + " END"
     level = lambda q: f"CASE WHEN n_s >= {LEAST} THEN {q}_s WHEN n_l >= {LEAST} THEN {q}_l ELSE {q}_a END"
@@ -106,7 +104,7 @@ def fences(sketch: DataFrame) -> DataFrame:
       q AS (SELECT s.lang, s.source, s.metric, {level("a")} AS a, {level("b")} AS b
             FROM s JOIN l ON s.lang <=> l.lang AND s.metric = l.metric JOIN a ON s.metric = a.metric)
       SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN a - {REACH} * greatest(b - a, {floor}) END) AS lo_{m}, max(CASE WHEN metric = '{m}' THEN b + {REACH} * greatest(b - a, {floor}) END) AS hi_{m}" for m in SPREADS)}
-      FROM q GROUP BY lang, source""")
+      FROM q GROUP BY lang, source""", sketch=sketch)
 
 
 def verdicts(metrics: DataFrame, bounds: DataFrame, salt: str) -> DataFrame:
@@ -126,8 +124,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with docs' columns."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("text").alias("_text"), "lang", "source")
-    metrics = staged(with_metrics(base(rows, "_text").drop("_text")), "quality")
+    rows = docs.select(packed(docs), F.col("text").alias("_text"), "lang", "source")
+    metrics = staged(with_metrics(base(rows, "_text").drop("_text")), "quality", compression="zstd")
     bounds = staged(fences(sketches(metrics.drop("_doc"))), "fences")
     return verdicts(metrics.withColumn("_salt", F.col("_doc.doc_id")), bounds, "_salt").filter("kept").select("_doc.*")
 

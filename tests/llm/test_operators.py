@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with nulls, repeated rows and clashing columns."""
 
+import hashlib
 import re
 import string
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brute import brute_components
 from tallyrow.llm import decontaminate, jaccard_join, language_id, language_model, licenses, packing, quality_classifier, quality_rules, sharding, token_files, tokens
 from tallyrow.llm.common import scratch
 from tallyrow.llm.elias_fano import EliasFano
@@ -75,11 +77,15 @@ def test_decontaminate(spark, docs, empty):
 
     got = pairs(decontaminate.decontaminate(docs, bench), "n_words", "n_hit", "n_items", "contaminated")
     assert got == sorted(((r[0], brute(r[1])) for r in ROWS), key=str)
-    assert decontaminate.decontaminate(empty, bench).count() == 0
+    own = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert own[5].items_sha256 == hashlib.sha256(b"2").hexdigest() and own[0].items_sha256 == hashlib.sha256(b"").hexdigest()
+    clean = decontaminate.cleaned(docs.withColumns({c: F.lit(1) for c in ("_th", "_k", "_id", "_maybe", "k", "h", "_doc")}), bench)
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((r[0] for r in ROWS if not brute(r[1])[3]), key=str)
+    assert decontaminate.decontaminate(empty, bench).count() == 0 and decontaminate.cleaned(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_jaccard_join(spark, empty):
+def near_copies():
     rng = np.random.default_rng(1)
     base = [[f"v{x}" for x in rng.integers(0, 500, n)] for n in (3, 40, 120, 400)]
     texts = [None, "", "a", "a b", "A b"]
@@ -96,31 +102,43 @@ def test_jaccard_join(spark, empty):
             for at in rng.integers(0, width, rng.integers(0, width // 12)):
                 c[at] = f"only{v}at{at}" if rng.random() < 0.7 else "shared" + str(rng.integers(0, 4))
             texts.append(" ".join(c))
-    rows = [*enumerate(texts), (None, texts[-1])]
-    sets = {}
-    for i, t in rows:
-        w = (t or "").translate(LOW).split()
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
-    up = {i: i for i in sets}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    ids = [i for i in sets if i is not None]
-    for a in ids:
-        for b in ids:
-            both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
-                up[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i: got[i] for i in ids} == {i: (len(sets[i]), find(i)) for i in ids}
-    assert got[None][1] == find(ids[-1])
+    return [*enumerate(texts), (None, texts[-1])]
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join(spark, words, percent):
+    rows = near_copies()
+    size, comp = brute_components([r for r in rows if r[0] is not None], words, percent)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(df, words, percent).collect()}
+    assert {i: got[i] for i in comp} == {i: (size[i], comp[i]) for i in comp}
+    assert got[None][1] == comp[rows[-2][0]]
+
+
+def test_jaccard_join_hot_signatures(spark, empty, monkeypatch):
+    """Signatures that go straight on, sets signed again, many blocks: the same components."""
+    for name, value in (("HOT", 2), ("HELD", 300), ("SHARD", 500), ("SEEN", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = [r for r in near_copies() if r[0] is not None]
+    _, comp = brute_components(rows, 3, 90)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == comp
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_deduplicated(spark, empty):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long), (5, long), (5, long + " x"), (3, long + " y"), (8, "other text here"), (8, "other text here"), (9, None), (9, None), (10, ""), (None, long), (11, "one two three four five six")]
+    # Columns that an implementation might use itself.
+    names = ["_th", "_k", "_d", "_t", "_id", "_maybe", "stays", "sid", "n", "_doc", "comp`onent"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in names})
+    got = jaccard_join.deduplicated(df, 5, 80)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(3, long + " y"), (8, "other text here"), (11, "one two three four five six")]
+    assert sorted(r.doc_id for r in got.collect() if not r.text) == [9, 9, 10]
+    assert jaccard_join.deduplicated(empty).count() == 0
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in licenses.licenses(docs).collect()}
     assert (got[6].n_base, got[6].first_word, got[6].last_word, got[6].base_labels, got[6].labels) == (2, 2, 9, "cc-by,mit", "cc-by,cc-by-nc,mit")
