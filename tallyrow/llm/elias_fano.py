@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import mmap
-import os
-import uuid
 
 import numpy as np
 
@@ -41,6 +39,19 @@ class EliasFano:
         zeros = np.arange(len(ones), dtype=np.int64) * 64 * _BLOCK - ones
         return cls({"shape": np.array([n, l], np.int64), "low": low, "high": high, "ones": ones, "zeros": zeros})
 
+    @classmethod
+    def inside(cls, parts: dict[str, np.ndarray], prefix: str) -> "EliasFano":
+        """The one whose arrays have this prefix among others."""
+        return cls({k[len(prefix) :]: v for k, v in parts.items() if k.startswith(prefix)})
+
+    def named(self, prefix: str) -> dict[str, np.ndarray]:
+        return {prefix + k: v for k, v in self.parts.items()}
+
+    @property
+    def last(self) -> np.uint64:
+        """The greatest value."""
+        return self.get(np.array([self.n - 1]))[0]
+
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Places of the k-th ones or zeros."""
         directory = self.ones if one else self.zeros
@@ -96,18 +107,15 @@ class EliasFano:
         return out
 
 
-def save(path: str, parts: dict[str, np.ndarray]) -> None:
-    """Arrays in one file, put in place at once, so that a repeated task does no harm."""
+def packed_levels(parts: dict[str, np.ndarray]) -> list[bytes]:
+    """Arrays as the bytes of one file, each at a multiple of 64 bytes."""
     head, at = {}, 0
     for k, v in parts.items():
         head[k] = [str(v.dtype), len(v), at]
         at += -(-v.nbytes // 64) * 64
     line = json.dumps(head).encode()
-    with open(tmp := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-        f.write(len(line).to_bytes(8, "little") + line + b" " * (-(len(line) + 8) % 64))
-        for v in parts.values():
-            f.write(v.tobytes() + b"\0" * (-v.nbytes % 64))
-    os.replace(tmp, path)
+    out = [len(line).to_bytes(8, "little") + line + b" " * (-(len(line) + 8) % 64)]
+    return out + [v.tobytes() + b"\0" * (-v.nbytes % 64) for v in parts.values()]
 
 
 def load(path: str) -> dict[str, np.ndarray]:

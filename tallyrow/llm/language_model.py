@@ -1,29 +1,42 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model is a bigram model over lower-cased words and an end token, with Dirichlet
-smoothing towards the add-one unigram model: p(w | v) = (c(v, w) + M p(w)) / (c(v) + M).
+The model has three orders over lower-cased words and an end token, with Dirichlet
+smoothing, each order towards the one below and the lowest by add-one:
+p(w | v) = (c(v, w) + M p(w)) / (c(v) + M), p(w | u, v) = (c(u, v, w) + M3 p(w | v)) / (c(u, v) + M3).
+A text's first word has the start as its context and no third order.
 
-Level 1: the words by their 64-bit hash, in order, with their counts; a word's id is its
-rank. Level 2, in shards by a hash of the bigram (so a frequent context is spread over
-all): Elias-Fano pointers from a context to its successors, the successors as an
-Elias-Fano sequence relative to their context, and a byte for each one's smoothed
-log-probability, quantised over the shard's range. A query takes its context's range
-from the pointers and searches its successor there.
+Level 1: the words' 64-bit hashes in order as an Elias-Fano sequence for each range of
+hashes, with their counts; a word's id is its rank.
+
+Levels 2 and 3 of what follows a word v, in shards by a hash of (v, w), so that a
+frequent context is spread over all of them:
+
+- the contexts v that occur in the shard, and Elias-Fano pointers to their successors w;
+- the words u before v, and Elias-Fano pointers to the successors of (u, v). These are
+  numbered relative to their context: w is its rank among the successors of v.
+- a byte each for the smoothed probabilities, quantised over the shard's range: of w
+  after v, of w after (u, v) without its denominator, and of that denominator for (v, w)
+  as a context, which is asked for with the text's next word.
+
+A query finds v, searches w among its successors, then u, and w's rank among the
+successors of (u, v).
 
 Counting passes go over all training texts: tasks count their own n-grams, send sorted
 blocks to a shard, and a shard merges blocks and writes its level to the shared folder
 in spark.checkpoint.dir, put in place at once. Scoring maps these files; nothing is sent
-to the driver but a line for each file. If the shared folder is not a mounted one, the
-levels are passed on as Spark files.
+to the driver but a line for each file. A folder that isn't mounted is read and written
+through pyarrow's file systems; a worker then maps a copy of a level.
 
 Training texts are those whose crc32(doc_id as text) mod 7 is not 2 (a null id trains).
 Nulls: a null text is empty: it has the end token only. Repeated rows count each time.
 An empty table gives an empty result. Extra columns are ignored. Words count as equal if
-their 64-bit hashes are.
+their 64-bit hashes are. Ids have 32 bits: more different words are refused.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,18 +45,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import LOWER, hashes, mix, spans, texts_of
-from tallyrow.llm.common import documents, remainder, scratch, ship
-from tallyrow.llm.elias_fano import EliasFano, load, save
+from tallyrow.llm.common import documents, release, remainder, scratch, ship
+from tallyrow.llm.elias_fano import EliasFano, load, packed_levels
 
-#: Weight of the unigram model, in tokens.
-M = 50.0
+#: Weight of the unigram model in the bigram model, and of that in the trigram model, in tokens.
+M, M3 = 50.0, 30.0
 #: Tokens counted by a task before it sends them on.
 TOKENS = 2_000_000
-#: Bytes of text for a shard of words, and for a shard of bigrams.
-WORD_BYTES, PAIR_BYTES = 32 << 20, 16 << 20
+#: Bytes of text for a shard of words, and for a shard of n-grams.
+WORD_BYTES, GRAM_BYTES = 32 << 20, 16 << 20
 
-#: Hash of the end token; 0 is no word's context: the start.
+#: Hash of the end token.
 _END = np.uint64(0x1F0E0D0C0B0A0908)
+#: In the place of u: a first word.
+_NONE = 0xFFFFFFFF
+
+_U32 = np.uint64(32)
+_LOW32 = np.uint64(0xFFFFFFFF)
 
 
 def tokens(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -60,32 +78,42 @@ def tokens(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.
     return out, bounds
 
 
-def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their n."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _sum(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of n over equal keys, and the keys, in order of the last, the one before, and so on."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    n, keys = n[order], [k[order] for k in keys]
+    first = _firsts(*keys)
+    return (np.add.reduceat(n, first) if len(first) else n), *(k[first] for k in keys)
 
 
 def _counted(keys_of: Callable, shard_of: Callable) -> Callable:
-    """A task's counts as blocks: shard, keys, n."""
+    """A task's counts as blocks: shard, n, keys."""
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        shard = shard_of(keys)
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        keys = [np.concatenate(x) for x in zip(*held, strict=True)]
+        n, *keys = _sum(np.ones(len(keys[0]), np.uint32), *keys)
+        shard = shard_of(keys[-1])
         order = np.argsort(shard, kind="stable")
-        keys, n, shard = keys[order], n[order].astype(np.uint32), shard[order]
+        shard = shard[order]
         ids, first = np.unique(shard, return_index=True)
-        stop = [*first[1:].tolist(), len(shard)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([keys[a:b].tobytes() for a, b in zip(first.tolist(), stop, strict=True)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(first.tolist(), stop, strict=True)], pa.binary())], ["shard", "keys", "n"])
+        cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True))
+        arrays = [x[order] for x in (n.astype(np.uint32), *keys)]
+        columns = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in arrays]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *columns], ["shard", "n", *["low", "high"][-len(keys) :]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 held.append(keys_of(*tokens(batch.slice(at, 500))))
-                size += len(held[-1])
+                size += len(held[-1][0])
                 if size >= TOKENS:
                     yield from flush(held)
                     held, size = [], 0
@@ -95,28 +123,36 @@ def _counted(keys_of: Callable, shard_of: Callable) -> Callable:
     return run
 
 
-def _merged(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
-    n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("n")]).astype(np.int64)
-    return table.column("shard")[0].as_py(), *_sum(keys, n)
+def _merged(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """n and the keys of a shard's blocks together."""
+    kinds = {"n": np.uint32, "low": np.uint32, "high": np.uint64}
+    got = {c: np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(c)]) for c, k in kinds.items() if c in table.column_names}
+    return _sum(got.pop("n").astype(np.int64), *got.values())
 
 
 class Words:
     """Level 1: ids and counts of words."""
 
-    def __init__(self, files: list[tuple[str, int]], place: Callable[[str], str]):
+    def __init__(self, files: list[tuple[str, int]]):
         self.first = np.concatenate([[0], np.cumsum([n for _, n in files])])
-        self.levels = [load(place(p)) for p, _ in files]
-        self.least = np.array([x["hash"][0] for x in self.levels], np.uint64)
+        self.levels = [_opened(p) for p, _ in files]
+        self.hashes = [EliasFano.inside(x, "h.") for x in self.levels]
+        self.least = np.array([x["least"][0] for x in self.levels], np.uint64)
+
+    @staticmethod
+    def build(keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        e = EliasFano.of(keys - keys[0], int(keys[-1] - keys[0]) + 1)
+        return e.named("h.") | {"least": keys[:1], "n": n.astype(np.uint32) if n.max() < 1 << 32 else n}
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Ids of sorted hashes; -1 for words not seen."""
         out = np.full(len(h), -1, np.int64)
         cut = [*np.searchsorted(h, self.least).tolist(), len(h)]
-        for i, x in enumerate(self.levels):
-            q = h[cut[i] : cut[i + 1]]
-            at = np.minimum(np.searchsorted(x["hash"], q), len(x["hash"]) - 1)
-            out[cut[i] : cut[i + 1]] = np.where(x["hash"][at] == q, at + self.first[i], -1)
+        for i, e in enumerate(self.hashes):
+            q = h[cut[i] : cut[i + 1]] - self.least[i]
+            inside = q <= e.last
+            at = e.find(q[inside], np.zeros(int(inside.sum()), np.int64), np.full(int(inside.sum()), e.n))
+            out[cut[i] : cut[i + 1]][inside] = np.where(at >= 0, at + self.first[i], -1)
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
@@ -129,102 +165,165 @@ class Words:
         return out
 
 
+def _quantised(x: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    low, high = (float(x.min()), float(x.max())) if len(x) else (0.0, 0.0)
+    step = (high - low) / 255 or 1.0
+    return {f"{name}.q": np.rint((x - low) / step).astype(np.uint8), f"{name}.scale": np.array([low, step])}
+
+
 class Trie:
-    """A shard of level 2."""
+    """A shard of levels 2 and 3."""
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.pointers = EliasFano({k[2:]: v for k, v in parts.items() if k.startswith("p.")})
-        self.successors = EliasFano({k[2:]: v for k, v in parts.items() if k.startswith("s.")})
-        self.quantised, self.scale = parts["q"], parts["scale"]
+        self.parts = parts
+        self.v, self.to_w, self.w, self.u, self.to_rank, self.rank = (EliasFano.inside(parts, k) for k in ("v.", "vw.", "w.", "u.", "uw.", "r."))
+        self.words, self.widest = (int(x) for x in parts["shape"])
 
     @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, logp: np.ndarray, words: int) -> dict[str, np.ndarray]:
-        """Bigrams in order of context (0 to words, the last being the start) and word."""
-        pointers = np.searchsorted(context, np.arange(words + 2))
-        p, s = EliasFano.of(pointers, len(context) + 1), EliasFano.of(context * words + word, (words + 1) * words + 1)
-        low, high = (float(logp.min()), float(logp.max())) if len(logp) else (0.0, 0.0)
-        step = (high - low) / 255 or 1.0
-        q = np.rint((logp - low) / step).astype(np.uint8)
-        return {**{f"p.{k}": v for k, v in p.parts.items()}, **{f"s.{k}": v for k, v in s.parts.items()}, "q": q, "scale": np.array([low, step])}
-
-    def logp(self, context: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
-        """Stored log10 probabilities; NaN for bigrams not seen."""
-        out = np.full(len(context), np.nan)
-        known, back = np.unique(context, return_inverse=True)
-        lo, hi = self.pointers.get(known).astype(np.int64)[back], self.pointers.get(known + 1).astype(np.int64)[back]
-        some = np.flatnonzero(hi > lo)
-        at = self.successors.find((context[some] * words + word[some]).astype(np.uint64), lo[some], hi[some])
-        found = at >= 0
-        out[some[found]] = self.scale[0] + self.scale[1] * self.quantised[at[found]]
-        return out
-
-
-def _place(shared: bool) -> Callable[[str], str]:
-    """Where a worker finds a level: in the mounted folder, or among the Spark files."""
-    if shared:
-        return lambda path: path
-
-    def fetched(path: str) -> str:
-        from pyspark import SparkFiles
-
-        return SparkFiles.get(path.rsplit("/", 1)[1])
-
-    return fetched
+    def build(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, words: int, p2: Callable) -> dict[str, np.ndarray]:
+        """u, v, w, n: n-grams in order of v, w and u, each once; p2(v, w, n): smoothed probabilities of bigrams."""
+        pair = _firsts(v, w)
+        n2 = np.add.reduceat(n, pair) if len(pair) else n
+        v2, w2 = v[pair], w[pair]
+        first = _firsts(v2)
+        contexts, begins = v2[first], np.append(first, len(v2))
+        place = np.repeat(np.arange(len(contexts)), np.diff(begins))  # of each pair's context
+        rank = np.arange(len(v2)) - begins[place]
+        widest = int(rank.max(initial=0)) + 1
+        p = p2(v2, w2, n2)
+        of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(v))))  # pair of each n-gram
+        three = np.flatnonzero(u != _NONE)
+        three = three[np.lexsort((rank[of[three]], u[three], place[of[three]]))]
+        own, u3 = of[three], u[three].astype(np.int64)
+        first3 = _firsts(place[own], u3)
+        begins3 = np.append(first3, len(three))
+        number = np.repeat(np.arange(len(first3)), np.diff(begins3))
+        parts = {"shape": np.array([words, widest], np.int64)}
+        parts |= EliasFano.of(contexts, words + 2).named("v.") | EliasFano.of(begins, len(v2) + 1).named("vw.")
+        parts |= EliasFano.of(place * words + w2, max(1, len(contexts)) * words + 1).named("w.")
+        parts |= EliasFano.of(place[own][first3] * (words + 1) + u3[first3], max(1, len(contexts)) * (words + 1) + 1).named("u.")
+        parts |= EliasFano.of(begins3, len(three) + 1).named("uw.")
+        parts |= EliasFano.of(number * widest + rank[own], max(1, len(first3)) * widest + 1).named("r.")
+        top = np.log10(n[three] + M3 * p[own])
+        return parts | _quantised(np.log10(p), "p2") | _quantised(top, "p3") | _quantised(-np.log10(n2 + M3), "under")
+
+    def _value(self, name: str, at: np.ndarray) -> np.ndarray:
+        low, step = self.parts[f"{name}.scale"]
+        return low + step * self.parts[f"{name}.q"][at]
+
+    def ask(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of p(w | v), of the numerator of p(w | u, v), and of one over the denominator of (v, w) as a context; NaN if not seen."""
+        out = [np.full(len(v), np.nan) for _ in range(3)]
+        none = np.zeros(len(v), np.int64)
+        if not self.v.n:
+            return tuple(out)
+        at = self.v.find(v.astype(np.uint64), none, none + self.v.n)
+        some = np.flatnonzero(at >= 0)
+        lo, hi = (self.to_w.get(at[some] + k).astype(np.int64) for k in (0, 1))
+        pair = self.w.find((at[some] * self.words + w[some]).astype(np.uint64), lo, hi)
+        hit = pair >= 0
+        some, at, lo, pair = some[hit], at[some[hit]], lo[hit], pair[hit]
+        out[0][some], out[2][some] = self._value("p2", pair), self._value("under", pair)
+        known = np.flatnonzero((u[some] != _NONE) & (u[some] >= 0)) if self.u.n else none[:0]
+        some, at, rank = some[known], at[known], (pair - lo)[known]
+        before = self.u.find((at * (self.words + 1) + u[some]).astype(np.uint64), np.zeros(len(at), np.int64), np.full(len(at), self.u.n))
+        some, rank, before = some[before >= 0], rank[before >= 0], before[before >= 0]
+        lo, hi = (self.to_rank.get(before + k).astype(np.int64) for k in (0, 1))
+        gram = self.rank.find((before * self.widest + rank).astype(np.uint64), lo, hi)
+        out[1][some[gram >= 0]] = self._value("p3", gram[gram >= 0])
+        return tuple(out)
+
+
+def _file_system(path: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path)
+
+
+def _saved(path: str, parts: dict[str, np.ndarray]) -> None:
+    """Puts a level in place at once, so that a repeated task does no harm."""
+    fs, where = _file_system(path)
+    fs.create_dir(os.path.dirname(where), recursive=True)
+    tmp = f"{where}.{os.urandom(8).hex()}"
+    with fs.open_output_stream(tmp) as f:
+        for x in packed_levels(parts):
+            f.write(x)
+    fs.move(tmp, where)
+
+
+def _opened(path: str) -> dict[str, np.ndarray]:
+    """A level, mapped."""
+    fs, where = _file_system(path)
+    if fs.type_name == "local":
+        return load(where)
+    with tempfile.NamedTemporaryFile() as copy:  # mapped, so it may go at once
+        with fs.open_input_stream(where) as f:
+            while block := f.read(1 << 20):
+                copy.write(block)
+        copy.flush()
+        return load(copy.name)
 
 
 class Model:
     """Where the levels are, and the totals."""
 
-    def __init__(self, words: list[tuple[str, int]], tries: list[str], total: int, shared: bool):
-        self.words, self.tries, self.total, self.shared = words, tries, total, shared
+    def __init__(self, words: list[tuple[str, int]], tries: list[str | None], total: int):
+        self.words, self.tries, self.total = words, tries, total
         self.size = sum(n for _, n in words)
         self._levels = None
 
     def __getstate__(self):
         return self.__dict__ | {"_levels": None}
 
-    def level1(self) -> Words:
-        return Words(self.words, _place(self.shared))
-
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.total + self.size + 1))
 
-    def _shard(self, key: np.ndarray) -> np.ndarray:
+    def shard(self, key: np.ndarray) -> np.ndarray:
         return (mix(key) % np.uint64(len(self.tries))).astype(np.int32)
 
     def score(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score, score of each text."""
         if self._levels is None:
-            place = _place(self.shared)
-            self._levels = self.level1(), [Trie(load(place(t))) for t in self.tries]
+            self._levels = Words(self.words), [t and Trie(_opened(t)) for t in self.tries]
         words, tries = self._levels
         h, bounds = tokens(batch)
         seen, back = np.unique(h, return_inverse=True)
         own = words.ids(seen)
         count = words.counts(own)
-        uni = self.unigram(count)
-        ids, c, base = own[back], count[back], uni[back]
-        context = np.empty(len(ids), np.int64)
-        context[1:] = ids[:-1]
-        context[bounds[:-1]] = self.size
-        total = np.empty(len(ids), np.int64)
-        total[1:] = c[:-1]
-        total[bounds[:-1]] = count[np.searchsorted(seen, _END)]  # as many starts as ends
-        logp = base + np.log10(M / (total + M))
-        asked = np.flatnonzero((ids >= 0) & (context >= 0) & (total > 0))
-        key, where = np.unique((context[asked].astype(np.uint64) << np.uint64(32)) | ids[asked].astype(np.uint64), return_inverse=True)
-        got = np.full(len(key), np.nan)
-        if len(tries):
-            shard = self._shard(key)
-            for s, trie in enumerate(tries):
-                mine = np.flatnonzero(shard == s)
-                if trie is not None and len(mine):
-                    got[mine] = trie.logp((key[mine] >> np.uint64(32)).astype(np.int64), (key[mine] & np.uint64(0xFFFFFFFF)).astype(np.int64), self.size)
-        got = got[where]
-        hit = ~np.isnan(got)
-        logp[asked[hit]] = got[hit]
+        ids, c, base = own[back], count[back], self.unigram(count)[back]
+        starts = bounds[:-1]
+        v, before, u = (np.empty(len(ids), np.int64) for _ in range(3))
+        v[1:], before[1:], u[1:] = ids[:-1], c[:-1], v[:-1]
+        v[starts], before[starts] = self.size, count[np.searchsorted(seen, _END)] if len(seen) else 0  # as many starts as ends
+        u[1:] = v[:-1]
+        u[starts] = _NONE
+        logp = base + np.log10(M / (before + M))
+        asked = np.flatnonzero((ids >= 0) & (v >= 0) & (before > 0))
+        key = (v[asked].astype(np.uint64) << _U32) | ids[asked].astype(np.uint64)
+        third = np.full(len(ids), np.nan)
+        under = np.full(len(ids), -np.log10(M3))  # of the token's bigram as a context
+        if len(tries) and len(asked):
+            order = np.lexsort((u[asked], key))
+            key, asked = key[order], asked[order]
+            first = _firsts(key, u[asked])
+            which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+            key, one = key[first], asked[first]
+            shard = self.shard(key)
+            got = np.full((3, len(key)), np.nan)
+            for k in np.unique(shard).tolist():
+                if tries[k] is not None:
+                    mine = np.flatnonzero(shard == k)
+                    got[:, mine] = tries[k].ask(u[one[mine]], v[one[mine]], ids[one[mine]])
+            got = got[:, which]
+            for target, x in zip((logp, third, under), got, strict=True):
+                hit = ~np.isnan(x)
+                target[asked[hit]] = x[hit]
+        later = np.ones(len(ids), bool)
+        later[starts] = False
+        at = np.flatnonzero(later)
+        logp[at] = under[at - 1] + np.where(np.isnan(third[at]), np.log10(M3) + logp[at], third[at])
         n = np.diff(bounds)
-        sums = [np.add.reduceat(x, bounds[:-1]) if len(n) else np.zeros(0) for x in ((c > 0).astype(np.int64), base, logp)]
+        sums = [np.add.reduceat(x, starts) if len(n) else np.zeros(0) for x in ((c > 0).astype(np.int64), base, logp)]
         return n, *sums
 
 
@@ -233,82 +332,63 @@ def train(docs: DataFrame, learn: Column) -> Model:
     spark = docs.sparkSession
     ship(spark)
     folder = scratch(spark, "lm")
-    shared = folder.startswith(("file:", "/"))
-    local = folder.removeprefix("file://").removeprefix("file:") if shared else "."
+    folder = f"file://{folder}" if folder.startswith("/") else folder.replace("file:///", "file:/").replace("file:/", "file:///")
     rows = docs.filter(learn).select("text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, pairs = max(4, -(-size // WORD_BYTES)), max(4, -(-size // PAIR_BYTES))
-
-    def written(name: str, shard: int, parts_: dict[str, np.ndarray], n: int, total: int) -> pa.Table:
-        import os
-
-        path, blob = f"{local}/{name}-{shard}", None
-        if shared:
-            os.makedirs(local, exist_ok=True)
-            save(path, parts_)
-        else:
-            save(tmp := f"{name}-{shard}.part", parts_)
-            with open(tmp, "rb") as f:
-                blob = f.read()
-            os.remove(tmp)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64()), "path": [path], "blob": pa.array([blob], pa.binary())})
-
-    kinds = "shard int, n long, total long, path string, blob binary"
-
-    def listed(df: DataFrame) -> list:
-        if shared:
-            return sorted(df.drop("blob").collect())  # a line for each file
-        import os
-        import tempfile
-
-        got, own = [], tempfile.mkdtemp()
-        for r in df.toLocalIterator():  # one partition at a time
-            name = f"{folder.rsplit('/', 1)[1]}-{r.path.rsplit('/', 1)[1]}"
-            with open(os.path.join(own, name), "wb") as f:
-                f.write(r.blob)
-            spark.sparkContext.addFile(os.path.join(own, name))
-            got.append((r.shard, r.n, r.total, f"./{name}"))
-        return sorted(got)
+    parts, grams = max(4, -(-size // WORD_BYTES)), max(4, -(-size // GRAM_BYTES))
+    kinds = "shard int, n long, total long, path string"
 
-    def merge_words(table: pa.Table) -> pa.Table:
-        shard, keys, n = _merged(table)
-        return written("words", shard, {"hash": keys, "n": n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n}, len(keys), int(n.sum()))
+    def written(name: str, shard: int, levels: dict[str, np.ndarray], n: int, total: int) -> pa.Table:
+        _saved(path := f"{folder}/{name}-{shard}", levels)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64()), "path": [path]})
 
-    blocks = rows.mapInArrow(_counted(lambda h, bounds: h, lambda k: ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)), "shard int, keys binary, n binary")
-    found = listed(blocks.groupBy("shard").applyInArrow(merge_words, kinds))
-    model = Model([(p, n) for _, n, _, p in found], [], sum(x[2] for x in found), shared)
+    def merge_words(table: pa.Table) -> pa.Table:
+        n, keys = _merged(table)
+        return written("words", table.column("shard")[0].as_py(), Words.build(keys, n), len(keys), int(n.sum()))
+
+    def word_shard(h: np.ndarray) -> np.ndarray:
+        return ((h >> _U32) * np.uint64(parts) >> _U32).astype(np.int32)
+
+    blocks = rows.mapInArrow(_counted(lambda h, bounds: (h,), word_shard), "shard int, n binary, high binary")
+    found = sorted(blocks.groupBy("shard").applyInArrow(merge_words, kinds).collect())  # a line for each file
+    del blocks
+    release(spark)
+    model = Model([(r.path, r.n) for r in found], [None] * grams if found else [], sum(r.total for r in found))
+    if model.size >= _NONE - 1:
+        raise ValueError(f"{model.size} different words: ids have 32 bits")
     if not found:
         return model
 
-    def keys_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def keys_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if model._levels is None:
-            model._levels = model.level1()
+            model._levels = Words(model.words)
         seen, back = np.unique(h, return_inverse=True)
         ids = model._levels.ids(seen)[back].astype(np.uint64)
-        context = np.empty(len(ids), np.uint64)
-        context[1:] = ids[:-1]
-        context[bounds[:-1]] = model.size
-        return (context << np.uint64(32)) | ids
-
-    def merge_pairs(table: pa.Table) -> pa.Table:
-        shard, keys, n = _merged(table)
-        context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        words = model.level1()
-        before = words.counts(np.where(context == model.size, words.ids(np.array([_END], np.uint64))[0], context))
-        logp = np.log10((n + M * 10 ** model.unigram(words.counts(word))) / (before + M))
-        return written("pairs", shard, Trie.build(context, word, logp, model.size), len(keys), int(n.sum()))
-
-    blocks = rows.mapInArrow(_counted(keys_of, lambda k: (mix(k) % np.uint64(pairs)).astype(np.int32)), "shard int, keys binary, n binary")
-    found = {x[0]: x[3] for x in listed(blocks.groupBy("shard").applyInArrow(merge_pairs, kinds))}
-    if len(found) < pairs:  # a shard without a bigram has no file
-
-        def empty(table: pa.Table) -> pa.Table:
-            none = np.zeros(0, np.int64)
-            return written("pairs", table.column("shard")[0].as_py(), Trie.build(none, none, np.zeros(0), model.size), 0, 0)
-
-        rest = spark.createDataFrame([(s,) for s in range(pairs) if s not in found], "shard int")
-        found |= {x[0]: x[3] for x in listed(rest.groupBy("shard").applyInArrow(empty, kinds))}
-    model.tries = [found[s] for s in range(pairs)]
+        v, u = np.empty(len(ids), np.uint64), np.empty(len(ids), np.uint32)
+        v[1:] = ids[:-1]
+        v[bounds[:-1]] = model.size
+        u[1:] = v[:-1]
+        u[bounds[:-1]] = _NONE
+        return u, (v << _U32) | ids
+
+    def merge_grams(table: pa.Table) -> pa.Table:
+        n, u, key = _merged(table)
+        v, w = (key >> _U32).astype(np.int64), (key & _LOW32).astype(np.int64)
+        words = Words(model.words)
+
+        def p2(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+            before = words.counts(np.where(v == model.size, words.ids(np.array([_END], np.uint64))[0], v))
+            return (n + M * 10 ** model.unigram(words.counts(w))) / (before + M)
+
+        return written("grams", table.column("shard")[0].as_py(), Trie.build(u, v, w, n, model.size, p2), len(n), int(n.sum()))
+
+    blocks = rows.mapInArrow(_counted(keys_of, model.shard), "shard int, n binary, low binary, high binary")
+    tries = list(model.tries)
+    for r in blocks.groupBy("shard").applyInArrow(merge_grams, kinds).collect():  # a line for each file
+        tries[r.shard] = r.path
+    del blocks
+    release(spark)
+    model.tries = tries
     return model
 
 
