@@ -14,8 +14,8 @@ doc_id. So one group of any size doesn't unbalance the shards.
 Law: bytes. Splitters are also placed inside the shards (parts of a shard), so a shard
 is sorted by several tasks; slots follow the key order.
 
-Nulls: a null text counts 0 bytes and hashes as its own group; a null doc_id sorts
-first. Rows that agree in text and doc_id can't be told apart by a key and stay
+Nulls: a null text counts 0 bytes and hashes as its own group; a null doc_id sorts with
+the least one. Ids may be any long; ids of another type are ordered by their hash. Rows that agree in text and doc_id can't be told apart by a key and stay
 together. Empty table: empty result. Extra columns are ignored.
 """
 
@@ -37,16 +37,16 @@ _TOP = 1 << 63
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, _h, and _i: doc_id from 1 up, 0 if null."""
+    """doc_id, size, text_crc32, _h, and _i: doc_id as a long. Staged."""
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("_h"),
     )
-    rows = staged(rows, "keys")
-    least = rows.agg(F.min("doc_id")).first()[0]
-    return rows.withColumn("_i", F.coalesce(F.col("doc_id") - F.lit(least or 0) + 1, F.lit(0)).cast("long"))
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id")
+    return staged(rows.withColumn("_i", F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(-_TOP))), "keys")
 
 
 def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int]]:
@@ -56,7 +56,8 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     settled: dict[int, tuple[int, int]] = {}
     # Of each open splitter: its bin as a prefix of the 128-bit key, and the bytes below that bin.
     open_ = {s: (0, 0) for s in range(len(targets))}
-    flipped = F.col("_h").bitwiseXOR(F.lit(-_TOP))
+    # As unsigned numbers, in the same order.
+    flipped, number = (F.col(c).bitwiseXOR(F.lit(-_TOP)) for c in ("_h", "_i"))
     for level in range(1, 17):
         shift = 8 * (8 - level) if level <= 8 else 8 * (16 - level)
         if level <= 8:
@@ -70,9 +71,9 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
                 heads.setdefault((head ^ _TOP) - (1 << 64) * ((head ^ _TOP) >= _TOP), []).append(tail)
             cond = F.lit(False)
             for h, tails in heads.items():
-                cond |= (F.col("_h") == F.lit(h)) & (F.shiftrightunsigned(F.col("_i"), shift + 8).isin(tails) if level > 9 else F.lit(True))
-            bins = keys.filter(cond).groupBy("_h", F.shiftrightunsigned(F.col("_i"), shift).alias("p")).agg(F.sum("size").alias("n"))
-            found = {(((r["_h"] % (1 << 64)) ^ _TOP) << 8 * (level - 8)) + r.p: r.n for r in bins.collect()}
+                cond |= (F.col("_h") == F.lit(h)) & (F.shiftrightunsigned(number, shift + 8).isin(tails) if level > 9 else F.lit(True))
+            bins = keys.filter(cond).groupBy("_h", F.shiftrightunsigned(number, shift).alias("p")).agg(F.sum("size").alias("n"))
+            found = {(((r["_h"] % (1 << 64)) ^ _TOP) << 8 * (level - 8)) + r.p % (1 << 64): r.n for r in bins.collect()}
         # shiftrightunsigned by 0 leaves the sign: prefixes are counted as unsigned.
         found = {p % (1 << 64) if level <= 8 else p: n for p, n in found.items()}
         inside: dict[int, list[tuple[int, int]]] = {}
@@ -104,7 +105,7 @@ def _least(prefix: int, level: int) -> tuple[int, int]:
     if key >= 1 << 128:
         return (1 << 63) - 1, (1 << 63) - 1
     h, i = divmod(key, 1 << 64)
-    return h - _TOP, min(i, (1 << 63) - 1)
+    return h - _TOP, i - _TOP
 
 
 def _rank(bounds: list[tuple[int, int]]) -> Column:
@@ -116,8 +117,9 @@ def _rank(bounds: list[tuple[int, int]]) -> Column:
 def shard(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of each row of docs."""
     keys = keyed(docs)
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    bounds = splitters(keys, shards * parts, tolerance * total / shards)
+    said = keys.agg(F.sum("size").alias("total"), F.max("size").alias("most")).first()
+    # A boundary can't be nearer than half the largest row at worst, so groups aren't split for less.
+    bounds = splitters(keys, shards * parts, max(tolerance * (said.total or 0) / shards, (said.most or 0) / 2))
     outer = bounds[parts - 1 :: parts]
     rows = keys.withColumn("shard", _rank(outer))
     # Within its shard a row is compared with that shard's own bounds only.
