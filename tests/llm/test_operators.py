@@ -5,8 +5,10 @@ import re
 import string
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,17 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[-(1 << 63), 0, None, (1 << 63) - 1], ["a", "b", None, "c"]])
+def test_sharding_any_id(spark, ids):
+    rows = [(i, "same text") for i in ids] * 50
+    got = sharding.shard(spark.createDataFrame(rows, f"doc_id {'long' if isinstance(ids[0], int) else 'string'}, text string"), shards=2, parts=2).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 2
+
+
 def test_sharding_splits_a_hot_group(spark):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same " * 20)).otherwise(F.concat(F.lit("own " * 20), F.col("id").cast("string"))).alias("text"))
     sums = [r.n for r in sharding.shard(hot).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
@@ -211,7 +224,37 @@ def test_token_files(spark, docs, empty):
         own = {r[0]: e.encode(r[1]).tolist() for r in ROWS}
         assert all(list(r.ids) == own[r.doc_id] for r in got)
     token_files.write(empty, path := scratch(spark, "tokens"))
-    assert token_files.digests(spark, path).count() == 0
+    assert token_files.digests(spark, path).count() == 0 and token_files.metadata(spark, path).count() == 0
+
+
+def test_token_files_selective(spark):
+    """Encodings in the footer, metadata without ids, and row groups left out."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"))
+    for encoding, name in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        token_files.write(docs, path := scratch(spark, "tokens"), encoding=encoding, row_group=4096, page=1024, file=1 << 16)
+        files = sorted(Path(path.removeprefix("file://")).glob("part-*.parquet"))
+        meta = [pq.ParquetFile(f).metadata for f in files]
+        assert len(files) > 1 and sum(m.num_row_groups for m in meta) > len(files)
+        ids = meta[0].row_group(0).column(meta[0].num_columns - 1)
+        encodings = {x.replace("PLAIN_DICTIONARY", "RLE_DICTIONARY") for x in ids.encodings}
+        assert ids.path_in_schema.startswith("ids") and name in encodings and ids.has_offset_index and ids.has_column_index
+        whole = {r.doc_id: r for r in token_files.metadata(spark, path).collect()}
+        assert len(whole) == 4000
+        for r in token_files.read(spark, path, 1000, 1009).collect():
+            assert 1000 <= r.doc_id <= 1009 and len(r.ids) == r.n_tokens and r.start == whole[r.doc_id].start
+        some = spark.read.parquet(path).filter("doc_id BETWEEN 1000 AND 1009")
+        some.collect()
+        leaf = some._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert 10 <= leaf.metrics().apply("numOutputRows").value() < 1000
+        plan = token_files.metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert "ids" not in plan
+
+
+def test_token_files_order_of_a_repeated_id(spark):
+    docs = spark.range(600).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    token_files.write(docs, path := scratch(spark, "tokens"))
+    got = sorted(token_files.metadata(spark, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
 
 
 def test_packing(docs, empty):
@@ -292,11 +335,12 @@ def test_language_model(docs, empty):
     model = language_model.train(docs, F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True)))
     got = {(r.doc_id, r.n_tokens): r for r in language_model.scores(docs, model).collect()}
     own = [(i, (t or "").translate(LOW).split() + [None]) for i, t, *_ in ROWS]
-    c, b = Counter(), Counter()
+    c, b, t = Counter(), Counter(), Counter()
     for i, w in own:
         if i is None or i % 3:
             c.update(w)
             b.update(zip(["^", *w], w, strict=False))
+            t.update(zip(["^", *w], w, w[1:], strict=False))
     n, v = sum(c.values()), len(c)
     c["^"] = c[None]
     assert model.total == n
@@ -304,6 +348,7 @@ def test_language_model(docs, empty):
         r = got[i, len(w)]
         p = [(c[x] + 1) / (n + v + 1) for x in w]
         assert r.n_known == sum(c[x] > 0 for x in w) and r.base_score == pytest.approx(sum(map(np.log10, p)))
-        s = sum(np.log10((b[a, x] + language_model.M * q) / (c[a] + language_model.M)) for a, x, q in zip(["^", *w], w, p, strict=False))
-        assert r.score == pytest.approx(s, abs=0.02 * len(w))
+        two = [(b[a, x] + language_model.M * q) / (c[a] + language_model.M) for a, x, q in zip(["^", *w], w, p, strict=False)]
+        three = [(t[a, x, y] + language_model.M3 * q) / (b[a, x] + language_model.M3) for a, x, y, q in zip(["^", *w], w, w[1:], two[1:], strict=False)]
+        assert r.score == pytest.approx(sum(map(np.log10, [two[0], *three])), abs=0.03 * len(w))
     assert language_model.scores(empty, language_model.train(empty, F.lit(True))).count() == 0
