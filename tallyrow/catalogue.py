@@ -1,7 +1,10 @@
-"""All queries of the engine by name, with their SQL."""
+"""All queries of the engine by name, with their SQL where SQL can express them."""
 
-from tallyrow.functions import colour
-from tallyrow.operators import aggregates, ordered, text
+from tallyrow.functions import codecs, colour, handlers, values, width
+from tallyrow.operators import aggregates, folds, lookups, ordered, ranking, text
+from tallyrow.sources import ssh_config
+from tallyrow.streaming import agents, frames
 
-QUERIES = aggregates.QUERIES | text.QUERIES | ordered.QUERIES | colour.QUERIES
-ORACLE = {k: q.oracle for k, q in QUERIES.items()}
+_MODULES = (aggregates, text, ordered, lookups, folds, ranking, colour, values, width, codecs, handlers, ssh_config, agents, frames)
+QUERIES = {name: q for module in _MODULES for name, q in module.QUERIES.items()}
+ORACLE = {name: q.oracle for name, q in QUERIES.items() if q.oracle}

@@ -2,7 +2,7 @@
 
 from tallyrow.plans.query import Query
 
-# What must be denied, what is sensitive, and the token patterns, in order.
+# What must be denied, what is sensitive, the token patterns, in order, and system paths.
 DENY = [
     r"DROP\s+DATABASE",
     r"DROP\s+SCHEMA",
@@ -68,13 +68,13 @@ QUERIES = {
         f"SELECT doc_id, kind, CAST(len(list_filter(kinds, lambda x: x = kind)) AS BIGINT) AS n FROM (SELECT doc_id, kinds, unnest(list_distinct(kinds)) AS kind FROM (SELECT doc_id, list_transform(regexp_extract_all(text, RX'{ANY_TOKEN}', 0), lambda t: {token_kind('t')}) AS kinds FROM documents) AS m) AS u",
     ),
     "url_tokens": Query(f"SELECT page_id, CAST(SIZE(regexp_extract_all(html, RX'{TOKENS['url']}', 0)) AS BIGINT) AS links FROM pages"),
-    # Links of the bracket and mail rules, the longest first.
+    # Mail addresses as links.
     "mail_links": Query("SELECT doc_id, concat('mailto:', regexp_extract(text, RX'\\b\\w+@[\\w-]+(\\.[\\w-]+)+\\b', 0)) AS link FROM documents WHERE MATCHES(text, RX'\\b\\w+@[\\w-]+(\\.[\\w-]+)+\\b')"),
     # The first hit from an index on, and the last before one.
     "history_search": Query("SELECT doc_id, min(CASE WHEN row >= 2 THEN row END) AS forward, max(CASE WHEN row < 2 THEN row END) AS backward FROM {lines} AS l WHERE contains(line, 'en') GROUP BY doc_id"),
     # Host patterns, the first that matches decides.
     "host_match": Query("SELECT p_partkey, CASE WHEN MATCHES(p_brand, RX'^.*3$') THEN false WHEN MATCHES(p_brand, RX'^Brand.*$') THEN true ELSE false END AS matched FROM part"),
-    # P17, P18, P19, P20
+    # P17, P18; system paths of P20
     "risk_class": Query(f"SELECT conv_id, turn, {classify('text')} AS decision FROM {_COMMANDS}"),
     "reply_class": Query(f"SELECT conv_id, turn, CASE WHEN contains(upper(trim(reply)), 'DENY') THEN 'deny' WHEN contains(upper(trim(reply)), 'ALLOW_ONCE') OR contains(upper(trim(reply)), 'ALLOW ONCE') THEN 'allow-once' WHEN contains(upper(trim(reply)), 'ALLOW') THEN 'allow-always' ELSE 'allow-once' END AS decision FROM {_REPLIES}"),
     "system_path": Query(f"SELECT p_partkey, {' OR '.join(f"""STARTS(lower(path), '{x}')""" for x in SYSTEM_PATHS)} AS dangerous FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '/ETC/x' WHEN 1 THEN '/home/y' ELSE '/proc/1' END AS path FROM part) AS p"),
@@ -93,22 +93,22 @@ QUERIES = {
     "grep": Query("SELECT concat(CAST(doc_id AS STRING), ':', CAST(row + 1 AS STRING), ': ', line) AS hit FROM {lines} AS l WHERE MATCHES(line, RX'[0-9]{3}') ORDER BY doc_id, row LIMIT 50"),
     # Last and first rows.
     "last_lines": Query("SELECT doc_id, row, rtrim(line) AS line FROM (SELECT doc_id, row, line, row_number() OVER (PARTITION BY doc_id ORDER BY row DESC) AS rn FROM {lines} AS l) AS x WHERE rn <= 3"),
-    "first_lines": Query("SELECT doc_id, row + 1 AS number, line FROM {lines} AS l WHERE row < 5"),
-    "remaining_lines": Query("SELECT doc_id, greatest(count(*) - 5, 0) AS more FROM {lines} AS l GROUP BY doc_id"),
+    "first_lines": Query("SELECT doc_id, row + 1 AS number, line FROM {lines} AS l WHERE row < 500"),
+    "remaining_lines": Query("SELECT doc_id, greatest(count(*) - 500, 0) AS more FROM {lines} AS l GROUP BY doc_id"),
     # T06, in its documented meaning: whole lines until the limit is reached.
     "search_limit": Query("SELECT doc_id, row, n FROM (SELECT doc_id, row, n, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, row, CAST(length(line) - length(replace(line, 'e', '')) AS BIGINT) AS n FROM {lines} AS l) AS y WHERE n > 0) AS x WHERE before < 40"),
     # A range of rows, clamped.
     "row_range": Query("SELECT doc_id, row, line FROM {lines} AS l WHERE row BETWEEN greatest(-3, 0) AND 4"),
-    # F04, F10, F17
+    # F04, F10
     "white_space": Query("SELECT p_partkey, MATCHES(p_name, RX'^\\s*$') AS white FROM part"),
     "split_lines": Query("SELECT doc_id, count(*) AS lines FROM {lines} AS l GROUP BY doc_id"),
     # sizes in steps of 1024.
-    "human_size": Query("SELECT o_orderkey, CASE WHEN b < 1024 THEN concat(CAST(b AS STRING), ' B') WHEN b < 1048576 THEN concat(CAST(CAST(b / 1024.0 AS DECIMAL(18, 1)) AS STRING), ' KB') ELSE concat(CAST(CAST(b / 1048576.0 AS DECIMAL(18, 1)) AS STRING), ' MB') END AS size FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 16 AS b FROM orders) AS o"),
-    # F20, F21, F22, S19
+    "human_size": Query("SELECT o_orderkey, CASE WHEN b < 1024 THEN concat(CAST(b AS STRING), ' B') WHEN b < 1048576 THEN concat(CAST(CAST(b / 1024.0 AS DECIMAL(18, 1)) AS STRING), ' KB') WHEN b < 1073741824 THEN concat(CAST(CAST(b / 1048576.0 AS DECIMAL(18, 1)) AS STRING), ' MB') ELSE concat(CAST(CAST(b / 1073741824.0 AS DECIMAL(18, 1)) AS STRING), ' GB') END AS size FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 10000 ELSE 0 END + o_orderkey % 1000 AS b FROM orders) AS o"),
+    # F20, F21
     "summary": Query("SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN concat(substring(text, 1, 57), '...') ELSE text END AS summary FROM conversations"),
     "sigil_number": Query("SELECT c_custkey, TRY_CAST(substring(concat('%', CAST(c_custkey AS STRING)), 2) AS BIGINT) AS id FROM customer"),
     "status_string": Query("SELECT event_id, concat(event_type, ' (', CAST(user_id AS STRING), ')') AS status FROM events"),
-    # V03, V07, V08, V09, V12
+    # V03, V08, V09, V12
     "json_key": Query("SELECT get_json_object(props, '$.k') AS k, count(*) AS n FROM events GROUP BY get_json_object(props, '$.k')", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL"),
     "coerce_integer": Query("SELECT event_id, CASE WHEN value = floor(value) THEN CAST(value AS BIGINT) END AS whole, CAST(event_id AS DOUBLE) AS real FROM events"),
     "content_id": Query("SELECT DISTINCT sha2(text, 256) AS id FROM documents", "SELECT DISTINCT sha256(text) AS id FROM documents"),

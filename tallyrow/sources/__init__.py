@@ -1 +1 @@
-
+"""Readers of files and configuration."""
