@@ -52,10 +52,12 @@ from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, join_small,
 #: Words of a shingle, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 3, 90
 N2, K2 = 3, 1
+#: Members' sets go to their leaders in so many parts, one after the other, so that their shuffle takes a part of the disk.
+SLICES = 4
 #: Rounds of leaders before remaining().
 ROUNDS = 2
 #: Signatures a task holds before it sends them on, and about how many make a shard.
-HELD = SHARD = 1 << 20
+HELD, SHARD = 1 << 18, 1 << 19
 #: A signature that so many of a task's sets share goes straight on.
 HOT = 16
 #: Elements of all pivots that may be broadcast.
@@ -344,6 +346,7 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
     seen = elements.join(common, ["g", "coded", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
     prefix = seen.join(placed, "sid").withColumn("i", F.expr("if(coded, ne, na) - all + k")).filter("i <= if(coded, p0, pa)")
     prefix = keep(prefix.select("g", "coded", "e", "sid", "n", "w", "c", "near", "inside", "label", F.expr("if(coded, ne, na) - i").alias("rest"), F.expr("coded AND i <= p1").alias("short")), "prefix")
+    release(prefix.sparkSession)
     of = ("sid", "n", "w", "c", "near", "inside", "label", "rest", "short")
     x = prefix.filter("if(coded, NOT inside, NOT near)").select("g", "coded", "e", *(F.col(c).alias(f"{c}x") for c in of))
     y = prefix.select("g", "coded", "e", *(F.col(c).alias(f"{c}y") for c in of))
@@ -351,7 +354,10 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
         (insidey OR (sidx < sidy AND shortx AND shorty)) AND {d} * (1 + least(restx, resty)) >= wx + wy,
         (neary OR sidx < sidy) AND {100 + percent} * (1 + least(restx, resty) + least(cx, cy)) >= {percent} * (nx + ny))""")
     pairs = keep(x.join(y, ["g", "coded", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
-    coded = coded.select("sid", "w", F.concat("a", "r").alias("e"))
+    release(pairs.sparkSession)
+    coded = coded.select("sid", "w", F.concat("a", "r").alias("s"))
+    needed = marked(coded.withColumn("_k", F.xxhash64("sid")), pairs.select(F.explode(F.array(F.xxhash64("sidx"), F.xxhash64("sidy"))).alias("_k")), "_k")
+    coded = needed.filter("_maybe").select("sid", "w", F.col("s").alias("e"))
     one = pairs.join(coded.select(F.col("sid").alias("sidx"), F.col("e").alias("ex"), F.col("w").alias("wx")), "sidx")
     two = one.join(coded.select(F.col("sid").alias("sidy"), F.col("e").alias("ey"), F.col("w").alias("wy")), "sidy")
     found = two.filter(d * F.size(F.array_intersect("ex", "ey")) >= F.col("wx") + F.col("wy")).select(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b"))
@@ -376,12 +382,19 @@ def led(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), staged, of the buckets' members sid with their leaders y."""
     fits = 100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")
     pairs = staged(open_.filter((F.col("comp") != F.col("cy")) & fits).select("sid", "y").distinct(), "pairs")
-    # Leaders are few, so theirs is the small side; members of one leader can be split.
-    leaders = _these(sets, pairs.select(F.col("y").alias("sid"))).select(F.col("sid").alias("y"), F.col("s").alias("sy"))
-    both = pairs.join(_these(sets, pairs), "sid").join(leaders, "y").withColumn("i", F.size(F.array_intersect("s", "sy")))
-    both = both.filter(100 * F.col("i") >= percent * (F.size("s") + F.size("sy") - F.col("i")))
-    out = staged(both.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b")), "links")
-    discard(pairs)
+    made = []
+    for k in range(SLICES):
+        own = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(SLICES)) == k)
+        leaders = _these(sets, own.select(F.col("y").alias("sid"))).select(F.col("sid").alias("y"), F.col("s").alias("sy"))
+        both = own.join(_these(sets, own), "sid").join(leaders, "y").withColumn("i", F.size(F.array_intersect("s", "sy")))
+        both = both.filter(100 * F.col("i") >= percent * (F.size("s") + F.size("sy") - F.col("i")))
+        made.append(staged(both.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b")), "links"))
+        release(pairs.sparkSession)
+    out = made[0]
+    for x in made[1:]:
+        out = out.union(x)
+    out = staged(out, "links")
+    discard(pairs, *made)
     return out
 
 

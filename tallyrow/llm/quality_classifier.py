@@ -34,6 +34,8 @@ COARSE = 6
 ROUNDS = 120
 PAIRS = 4
 RATE = 0.15
+#: Texts whose features are made at a time.
+FEW = 250
 
 FEATURES = ["words", "word_bytes", "symbols", "capitals", "marks", "digits", "stops", "commas", "pipes", "distinct", "runs", "repeats", "repeated_lines", "line_words"]
 
@@ -137,8 +139,10 @@ class Model:
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = features(*texts_of(batch, "text"))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float32()))], ["y", "x"])
+        for at in range(0, batch.num_rows, FEW):
+            part = batch.slice(at, FEW)
+            x = features(*texts_of(part, "text"))
+            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(list(x), pa.list_(pa.float32()))], ["y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
@@ -160,8 +164,8 @@ def scored(rows: DataFrame, model: Model, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, FEW):
+                part = batch.slice(at, FEW)
                 score = model.score(features(*texts_of(part, text)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names if c != text), pa.array(score, pa.float64())], [*(c for c in names if c != text), "score"])
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrow.llm.common import documents, join_small, packed, space_words, staged
+from tallyrow.llm.common import discard, documents, join_small, marked, packed, space_words, staged
 
 #: A group of fewer texts uses its language's sketch, a language of fewer the overall one.
 LEAST = 100
@@ -123,11 +123,27 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns."""
-    rows = docs.select(packed(docs), F.col("text").alias("_text"), "lang", "source")
-    metrics = staged(with_metrics(base(rows, "_text").drop("_text")), "quality", compression="zstd")
-    bounds = staged(fences(sketches(metrics.drop("_doc"))), "fences")
-    return verdicts(metrics.withColumn("_salt", F.col("_doc.doc_id")), bounds, "_salt").filter("kept").select("_doc.*")
+    """The rows of docs that are kept, with docs' columns.
+
+    Only the metrics are staged. Rows that a bitmap can't tell from rejected ones are
+    compared with these, and no other row is shuffled.
+    """
+    key = ["doc_id", "_th", "lang", "source"]
+    rows = docs.select("doc_id", F.col("text").alias("_text"), F.xxhash64("text").alias("_th"), "lang", "source")
+    metrics = staged(with_metrics(base(rows, "_text").drop("_text")), "quality")
+    bounds = staged(fences(sketches(metrics)), "fences")
+    bad = verdicts(metrics, bounds, "_th").filter("NOT kept").select(*key).distinct().withColumn("_k", F.xxhash64(*key))
+    bad = staged(bad, "rejected")
+    discard(metrics, bounds)
+    own = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.col("lang").alias("_lang"), F.col("source").alias("_source")]
+    keyed = docs.select(packed(docs), *own).withColumn("_k", F.xxhash64("_id", "_th", "_lang", "_source"))
+    seen = marked(keyed, bad, "_k")
+    b = bad.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(["_k", *key])))
+    same = F.col("_k") == F.col("_b0")
+    for i, c in enumerate(("_id", "_th", "_lang", "_source"), 1):
+        same &= F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    kept = seen.filter("_maybe").join(b, same, "left_anti").select("_doc")
+    return seen.filter("NOT _maybe").select("_doc").union(kept).select("_doc.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

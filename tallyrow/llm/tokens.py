@@ -21,8 +21,8 @@ import numpy as np
 from tallyrow.llm.bytescan import groups, hash_group, spans
 
 #: Pieces and words kept by an Encoder; beyond that the table starts anew.
-PIECES = 1_000_000
-WORDS = 150_000
+PIECES = 400_000
+WORDS = 80_000
 #: Appended to each document.
 END = 2
 #: The split pattern of the file this encoder knows.
