@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time, besides a longer span.
-GROUP = 1 << 20
+GROUP = 1 << 18
 _M = 1 << 64
 _BASE = 0x9E3779B97F4A7C15
 

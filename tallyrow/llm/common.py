@@ -15,7 +15,7 @@ REPO = str(Path(__file__).resolve().parents[2])
 #: A table is broadcast only if it has at most so many rows (rows here are narrow: under 200 bytes).
 BROADCAST_ROWS = 200_000
 #: A bitmap of keys has 1 << BITMAP words of 64 bits, whatever the number of keys.
-BITMAP = 18
+BITMAP = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 WORKER = {"MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: Settings of Arrow batches where they are as Spark has them: theirs, and ours. Texts are long rows, and a batch of 10,000 takes much memory on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when it isn't installed on them, and sets WORKER for them."""
     env = spark.sparkContext.environment
@@ -38,6 +42,9 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
     for k, v in WORKER.items():
         env.setdefault(k, v)
+    for k, (default, own) in BATCH.items():
+        if spark.conf.get(k, default) == default:
+            spark.conf.set(k, own)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -86,7 +93,7 @@ def packed(docs: DataFrame) -> Column:
 def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows with _maybe: false if the row's key (a long hash) can't be among those of keys (staged).
 
-    The keys are put in a bitmap of 2 ** 24 bits, at most 1 << BITMAP rows of two longs,
+    The keys are put in a bitmap of 2 ** 22 bits, at most 1 << BITMAP rows of two longs,
     which is what is broadcast whatever their number. More keys set more bits, so that
     fewer rows are told apart; the exact join of the rows that are left decides.
     """
