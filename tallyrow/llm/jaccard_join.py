@@ -310,7 +310,7 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
     else:
         ranked = members.withColumn("deg", F.lit(0))
     pivots = ranked.groupBy("g").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), "sid")).alias("p")).select("g", F.col("p.sid").alias("sid"))
-    sets = keep(members.join(_these(sets, members), "sid").dropDuplicates(["sid"]), "open-sets")
+    sets = keep(members.join(_these(sets, members).hint("merge"), "sid").dropDuplicates(["sid"]), "open-sets")
     release(sets.sparkSession)
     pivots = keep(pivots.join(sets.select("sid", "s"), "sid").select("g", F.col("s").alias("p")), "pivots")
     # The pivots are broadcast if all their elements together are few.
@@ -339,11 +339,16 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
     placed = keep(placed.filter("p0 > 0 OR pa > 0").select("sid", "n", "w", "ne", "na", "c", "near", "inside", "p0", "p1", "pa", F.when(F.col("inside"), F.col("c0")).otherwise(F.col("comp")).alias("label")), "placed")
     discard(sets, pivots)
     release(sets.sparkSession)
-    codes = [coded.filter("near").select("g", "sid", F.lit(True).alias("coded"), F.explode(F.concat("a", "r")).alias("e")), coded.select("g", "sid", F.lit(False).alias("coded"), F.explode("a").alias("e"))]
+    # Codes are needed of near sets with a prefix, elements outside p only in groups that have a set that isn't near.
+    prefixed = keep(placed.filter("p0 > 0").select(F.xxhash64("sid").alias("_k")), "prefixed")
+    near = marked(coded.filter("near").withColumn("_k", F.xxhash64("sid")), prefixed, "_k").filter("_maybe")
+    far = keep(coded.filter("NOT near").select("g").distinct(), "far")
+    mixed = join_small(coded, far, ["g"], "inner", salt=F.col("sid"))
+    codes = [near.select("g", "sid", F.lit(True).alias("coded"), F.explode(F.concat("a", "r")).alias("e")), mixed.select("g", "sid", F.lit(False).alias("coded"), F.explode("a").alias("e"))]
     elements = codes[0].union(codes[1])
     common = elements.groupBy("g", "coded", "e").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("sid", "coded")
-    seen = elements.join(common, ["g", "coded", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
+    seen = elements.join(common.hint("merge"), ["g", "coded", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
     prefix = seen.join(placed, "sid").withColumn("i", F.expr("if(coded, ne, na) - all + k")).filter("i <= if(coded, p0, pa)")
     prefix = keep(prefix.select("g", "coded", "e", "sid", "n", "w", "c", "near", "inside", "label", F.expr("if(coded, ne, na) - i").alias("rest"), F.expr("coded AND i <= p1").alias("short")), "prefix")
     release(prefix.sparkSession)
@@ -386,7 +391,8 @@ def led(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for k in range(SLICES):
         own = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(SLICES)) == k)
         leaders = _these(sets, own.select(F.col("y").alias("sid"))).select(F.col("sid").alias("y"), F.col("s").alias("sy"))
-        both = own.join(_these(sets, own), "sid").join(leaders, "y").withColumn("i", F.size(F.array_intersect("s", "sy")))
+        # Merged at every size: sets are too large to be broadcast on all but small tables.
+        both = own.join(_these(sets, own).hint("merge"), "sid").join(leaders.hint("merge"), "y").withColumn("i", F.size(F.array_intersect("s", "sy")))
         both = both.filter(100 * F.col("i") >= percent * (F.size("s") + F.size("sy") - F.col("i")))
         made.append(staged(both.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b")), "links"))
         release(pairs.sparkSession)
