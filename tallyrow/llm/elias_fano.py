@@ -7,8 +7,14 @@ import mmap
 
 import numpy as np
 
-_BLOCK = 8  # words between entries of a directory
-_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BLOCK = 2  # words between entries of a directory
+_ONE = np.uint64(1)
+
+#: Place of the k-th one bit of a byte.
+_IN_BYTE = np.zeros((256, 8), np.uint8)
+for _x in range(256):
+    _places = [i for i in range(8) if _x >> i & 1]
+    _IN_BYTE[_x, : len(_places)] = _places
 
 
 class EliasFano:
@@ -37,7 +43,8 @@ class EliasFano:
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).reshape(-1, _BLOCK).sum(1, dtype=np.int64))])[:-1]
         zeros = np.arange(len(ones), dtype=np.int64) * 64 * _BLOCK - ones
-        return cls({"shape": np.array([n, l], np.int64), "low": low, "high": high, "ones": ones, "zeros": zeros})
+        kind = np.uint32 if len(bits) < 1 << 32 else np.int64
+        return cls({"shape": np.array([n, l], np.int64), "low": low, "high": high, "ones": ones.astype(kind), "zeros": zeros.astype(kind)})
 
     @classmethod
     def inside(cls, parts: dict[str, np.ndarray], prefix: str) -> "EliasFano":
@@ -55,24 +62,40 @@ class EliasFano:
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Places of the k-th ones or zeros."""
         directory = self.ones if one else self.zeros
-        block = np.searchsorted(directory, k, side="right") - 1
-        rest = (k - directory[block]).astype(np.int64)
+        block = np.searchsorted(directory, k.astype(directory.dtype), side="right") - 1
+        rest = k - directory[block].astype(np.int64)
         word = block * _BLOCK
         for _ in range(_BLOCK - 1):
-            c = np.bitwise_count(self.high[word] if one else ~self.high[word]).astype(np.int64)
+            c = np.bitwise_count(self.high[word] if one else ~self.high[word])
             on = rest >= c
             rest -= c * on
             word += on
         w = self.high[word] if one else ~self.high[word]
-        place = np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
+        place = word * 64
+        for width in (32, 16, 8):
             part = w & np.uint64((1 << width) - 1)
-            c = np.bitwise_count(part).astype(np.int64)
+            c = np.bitwise_count(part)
             on = rest >= c
             rest -= c * on
             place += width * on
             w = np.where(on, w >> np.uint64(width), part)
-        return word * 64 + place
+        return place + _IN_BYTE[w.astype(np.uint8), rest]
+
+    def _next(self, place: np.ndarray, k: np.ndarray, one: bool) -> np.ndarray:
+        """Places of the k-th ones or zeros, the first after the given places; by select where 64 bits have none."""
+        place = place + 1
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        last = len(self.high) - 1
+        bits = self.high[np.minimum(word, last)] >> shift
+        bits |= np.where(shift == 0, np.uint64(0), self.high[np.minimum(word + 1, last)] << ((np.uint64(64) - shift) & np.uint64(63)))
+        if not one:
+            bits = ~bits
+        out = place + np.bitwise_count((bits & (~bits + _ONE)) - _ONE)
+        # no bit in 64, or one that comes from a word beyond the last
+        far = np.flatnonzero((bits == 0) | (out >> 6 > last))
+        if len(far):
+            out[far] = self._select(k[far], one)
+        return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -86,12 +109,18 @@ class EliasFano:
         """Values at places i."""
         return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.l)) | self._low(i)
 
+    def range(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places i and i + 1."""
+        here = self._select(i, True)
+        both = (here, i), (self._next(here, i + 1, True), i + 1)
+        return tuple((((place - k).astype(np.uint64) << np.uint64(self.l)) | self._low(k)).astype(np.int64) for place, k in both)
+
     def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The place of each x among the places lo to hi - 1; -1 if it isn't there. The values there must be distinct."""
         bucket = (x >> np.uint64(self.l)).astype(np.int64)
-        first = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), False) - (bucket - 1), 0)
-        at = np.maximum(first, lo)
-        stop = np.minimum(self._select(bucket, False) - bucket, hi)
+        before = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), False), -1)
+        at = np.maximum(before - bucket + 1, lo)
+        stop = np.minimum(self._next(before, bucket, False) - bucket, hi)
         want = x & np.uint64((1 << self.l) - 1)
         out, end = np.full(len(x), -1, np.int64), stop.copy()
         left = np.flatnonzero(at < stop)

@@ -85,12 +85,26 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _sum(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of n over equal keys, and the keys, in order of the last, the one before, and so on."""
-    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    n, keys = n[order], [k[order] for k in keys]
-    first = _firsts(*keys)
-    return (np.add.reduceat(n, first) if len(first) else n), *(k[first] for k in keys)
+def _order(u: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and u (32 bits) with its key's place among them above it, as one number to sort by."""
+    keys, place = np.unique(key, return_inverse=True)
+    return keys, place.astype(np.uint64) << _U32 | u.astype(np.uint32)
+
+
+def _sum(n: np.ndarray | None, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of n (None: ones) over equal keys, and the keys, in order of the last, then of a first one of 32 bits."""
+    seen, x = (None, keys[0]) if len(keys) == 1 else _order(*keys)
+    if n is None:
+        x = np.sort(x)
+        first = _firsts(x)
+        n = np.diff(np.append(first, len(x)))
+    else:
+        order = np.argsort(x)
+        x, n = x[order], n[order]
+        first = _firsts(x)
+        n = np.add.reduceat(n, first) if len(first) else n
+    x = x[first]
+    return (n, x) if seen is None else (n, x.astype(np.uint32), seen[(x >> _U32).astype(np.int64)])
 
 
 def _counted(keys_of: Callable, shard_of: Callable) -> Callable:
@@ -98,8 +112,10 @@ def _counted(keys_of: Callable, shard_of: Callable) -> Callable:
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         keys = [np.concatenate(x) for x in zip(*held, strict=True)]
-        n, *keys = _sum(np.ones(len(keys[0]), np.uint32), *keys)
+        n, *keys = _sum(None, *keys)
         shard = shard_of(keys[-1])
+        if shard.max() < 1 << 16:
+            shard = shard.astype(np.uint16)  # sorted by digits
         order = np.argsort(shard, kind="stable")
         shard = shard[order]
         ids, first = np.unique(shard, return_index=True)
@@ -193,7 +209,7 @@ class Trie:
         p = p2(v2, w2, n2)
         of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(v))))  # pair of each n-gram
         three = np.flatnonzero(u != _NONE)
-        three = three[np.lexsort((rank[of[three]], u[three], place[of[three]]))]
+        three = three[np.argsort(place[of[three]].astype(np.uint64) << _U32 | u[three].astype(np.uint64), kind="stable")]  # by rank already
         own, u3 = of[three], u[three].astype(np.int64)
         first3 = _firsts(place[own], u3)
         begins3 = np.append(first3, len(three))
@@ -212,23 +228,31 @@ class Trie:
         return low + step * self.parts[f"{name}.q"][at]
 
     def ask(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of p(w | v), of the numerator of p(w | u, v), and of one over the denominator of (v, w) as a context; NaN if not seen."""
+        """log10 of p(w | v), of the numerator of p(w | u, v), and of one over the denominator of (v, w) as a context; NaN if not seen. They come in order of v and w."""
         out = [np.full(len(v), np.nan) for _ in range(3)]
         none = np.zeros(len(v), np.int64)
         if not self.v.n:
             return tuple(out)
-        at = self.v.find(v.astype(np.uint64), none, none + self.v.n)
+        # v and w are in order, so that each context and each pair is looked up once
+        first = _firsts(v)
+        each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+        at = self.v.find(v[first].astype(np.uint64), none[first], none[first] + self.v.n)
+        lo, hi = np.zeros((2, len(first)), np.int64)
+        found = at >= 0
+        lo[found], hi[found] = self.to_w.range(at[found])
+        at, lo, hi = at[each], lo[each], hi[each]
         some = np.flatnonzero(at >= 0)
-        lo, hi = (self.to_w.get(at[some] + k).astype(np.int64) for k in (0, 1))
-        pair = self.w.find((at[some] * self.words + w[some]).astype(np.uint64), lo, hi)
-        hit = pair >= 0
-        some, at, lo, pair = some[hit], at[some[hit]], lo[hit], pair[hit]
+        first = some[_firsts(v[some], w[some])]
+        each = np.repeat(np.arange(len(first)), np.diff(np.append(np.searchsorted(some, first), len(some))))
+        pair = self.w.find((at[first] * self.words + w[first]).astype(np.uint64), lo[first], hi[first])[each]
+        some, pair = some[pair >= 0], pair[pair >= 0]
+        at, lo = at[some], lo[some]
         out[0][some], out[2][some] = self._value("p2", pair), self._value("under", pair)
-        known = np.flatnonzero((u[some] != _NONE) & (u[some] >= 0)) if self.u.n else none[:0]
+        known = np.flatnonzero((u[some] != _NONE) & (u[some] >= 0)) if self.u.n else some[:0]
         some, at, rank = some[known], at[known], (pair - lo)[known]
         before = self.u.find((at * (self.words + 1) + u[some]).astype(np.uint64), np.zeros(len(at), np.int64), np.full(len(at), self.u.n))
         some, rank, before = some[before >= 0], rank[before >= 0], before[before >= 0]
-        lo, hi = (self.to_rank.get(before + k).astype(np.int64) for k in (0, 1))
+        lo, hi = self.to_rank.range(before)
         gram = self.rank.find((before * self.widest + rank).astype(np.uint64), lo, hi)
         out[1][some[gram >= 0]] = self._value("p3", gram[gram >= 0])
         return tuple(out)
@@ -303,17 +327,16 @@ class Model:
         third = np.full(len(ids), np.nan)
         under = np.full(len(ids), -np.log10(M3))  # of the token's bigram as a context
         if len(tries) and len(asked):
-            order = np.lexsort((u[asked], key))
-            key, asked = key[order], asked[order]
-            first = _firsts(key, u[asked])
-            which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-            key, one = key[first], asked[first]
+            keys, x = _order(u[asked], key)
+            x, which = np.unique(x, return_inverse=True)
+            key, ask_u = keys[(x >> _U32).astype(np.int64)], (x & _LOW32).astype(np.int64)  # u: -1 is as _NONE
+            ask_v, ask_w = (k.astype(np.int64) for k in (key >> _U32, key & _LOW32))
             shard = self.shard(key)
             got = np.full((3, len(key)), np.nan)
             for k in np.unique(shard).tolist():
                 if tries[k] is not None:
                     mine = np.flatnonzero(shard == k)
-                    got[:, mine] = tries[k].ask(u[one[mine]], v[one[mine]], ids[one[mine]])
+                    got[:, mine] = tries[k].ask(ask_u[mine], ask_v[mine], ask_w[mine])
             got = got[:, which]
             for target, x in zip((logp, third, under), got, strict=True):
                 hit = ~np.isnan(x)

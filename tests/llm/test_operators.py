@@ -352,3 +352,23 @@ def test_language_model(docs, empty):
         three = [(t[a, x, y] + language_model.M3 * q) / (b[a, x] + language_model.M3) for a, x, y, q in zip(["^", *w], w, w[1:], two[1:], strict=False)]
         assert r.score == pytest.approx(sum(map(np.log10, [two[0], *three])), abs=0.03 * len(w))
     assert language_model.scores(empty, language_model.train(empty, F.lit(True))).count() == 0
+
+
+def test_elias_fano_against_brute_force():
+    """Long runs in a bucket, long gaps, no low bits, few and many values; every place and every range."""
+    rng = np.random.default_rng(3)
+    cases = [np.arange(300), np.arange(0, 90000, 300), np.r_[5, np.arange(1000, 1400), 999_999], np.unique(rng.integers(0, 1 << 40, 2000)), np.array([0]), np.unique(rng.integers(0, 3000, 2500))]
+    for values in cases:
+        for universe in (int(values[-1]) + 1, int(values[-1]) * 3 + 7):
+            e = EliasFano.of(values, universe)
+            at = np.arange(len(values))
+            assert (e.get(at) == values).all()
+            assert [x.tolist() for x in e.range(at[:-1])] == [values[:-1].tolist(), values[1:].tolist()]
+            asked = np.unique(np.r_[values, values[values > 0] - 1, np.minimum(values + 1, universe - 1)])
+            lo = rng.integers(0, len(values) + 1, len(asked))
+            hi = rng.integers(0, len(values) + 1, len(asked))
+            place = np.searchsorted(values, asked)
+            there = np.isin(asked, values) & (place >= lo) & (place < hi)
+            assert (e.find(asked.astype(np.uint64), lo, hi) == np.where(there, place, -1)).all()
+    repeated = np.sort(rng.integers(0, 50, 400))  # as pointers may be
+    assert (EliasFano.of(repeated, 51).get(np.arange(400)) == repeated).all()
