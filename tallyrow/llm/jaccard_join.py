@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import LOWER, hashes, mix, spans, texts_of
-from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, join_small, marked, packed, release, ship, staged
+from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, freeing, give_back, join_small, marked, packed, release, ship, staged
 
 #: Words of a shingle, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 3, 90
@@ -207,6 +207,7 @@ def _signed(words: int, percent: int, shards: int):
                     if size >= HELD:
                         yield flush(held)
                         held, size = [], 0
+                        give_back()
         if held:
             yield flush(held)
 
@@ -215,6 +216,7 @@ def _signed(words: int, percent: int, shards: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of a shard: sig, sid of the signatures that several sets have, one of them for its own band."""
+    give_back()  # what the shard before took
     sig, sid, flag = (
         np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
         for c, kind in (("sig", np.uint64), ("sid", np.int64), ("flag", np.uint8))
@@ -409,7 +411,7 @@ def shared(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
     total = reps.agg(F.sum("n")).first()[0] or 0
     expected = total * 6.4 * (100 - percent) / (100 + percent)
     shards = max(4, math.ceil(expected / SHARD))
-    blocks = texts.select("text").mapInArrow(_signed(words, percent, shards), "shard int, sig binary, sid binary, flag binary")
+    blocks = texts.select("text").mapInArrow(freeing(_signed(words, percent, shards)), "shard int, sig binary, sid binary, flag binary")
     live = staged(blocks.groupBy("shard").applyInArrow(_shared, "sig long, sid long"), "shared")
     out = staged(live.join(reps.select("sid", "n"), "sid"), "live")
     discard(live)
@@ -423,7 +425,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = _keyed(docs)
-    rows = texts.select("doc_id", "text", "_th").mapInArrow(_summaries(words), f"doc_id {kind}, _th long, n_shingles long, sid long")
+    rows = texts.select("doc_id", "text", "_th").mapInArrow(freeing(_summaries(words)), f"doc_id {kind}, _th long, n_shingles long, sid long")
     rows = staged(rows, "summaries")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("r")
     reps = rows.filter("sid IS NOT NULL").groupBy("sid")
@@ -432,7 +434,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     # The sets of these classes, each from the text of its representative; a set may be there more than once, or not needed.
     wanted = live.select("sid").distinct().join(reps, "sid").select("r.doc_id", "r._th")
     wanted = staged(wanted.select(F.xxhash64("doc_id", "_th").alias("_k")), "wanted")
-    sets = marked(texts, wanted, "_k").filter("_maybe").select("text").mapInArrow(_sets(words), "sid long, s array<long>")
+    sets = marked(texts, wanted, "_k").filter("_maybe").select("text").mapInArrow(freeing(_sets(words)), "sid long, s array<long>")
     sets = staged(sets, "sets")
     discard(wanted)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import LINE, hashes, spans, texts_of
-from tallyrow.llm.common import documents, remainder, ship
+from tallyrow.llm.common import documents, freeing, remainder, ship
 
 SAMPLE = 20_000
 BINS = 24
@@ -171,7 +171,7 @@ def scored(rows: DataFrame, model: Model, text: str) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return rows.mapInArrow(run, StructType([*(f for f in rows.schema.fields if f.name != text), StructField("score", DoubleType())]))
+    return rows.mapInArrow(freeing(run), StructType([*(f for f in rows.schema.fields if f.name != text), StructField("score", DoubleType())]))
 
 
 def _learned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[Column, Model]:
