@@ -68,6 +68,14 @@ def test_on_own_tables(spark):
     assert {r.option_name: r.value for r in QUERIES["first_option"].on(events=mine).collect()} == {"a": 5.0, "b": 7.0}
 
 
+def test_repeated_ranges_merge(spark):
+    """Rows that the windows' order doesn't tell apart; each supplier has two islands, the second of repeats."""
+    ranges = [(k, lo, n) for k in range(50) for lo, n in ((1, 3), (2, 4), *[(500, 2)] * 5)]
+    mine = spark.createDataFrame(ranges, "l_suppkey long, l_orderkey long, l_linenumber int").repartition(8)
+    assert sorted(map(tuple, QUERIES["interval_coalesce"].on(lineitem=mine).collect())) == sorted(r for k in range(50) for r in ((k, 1, 6), (k, 500, 502)))
+    assert sorted(map(tuple, QUERIES["interval_remove"].on(lineitem=mine).collect())) == [(k, 1, 6) for k in range(50)]
+
+
 def test_histogram_keeps_two_digits(spark):
     mine = spark.range(1, 10001).select(F.lit("e").alias("event_type"), (F.col("id") / 100).alias("value"))
     r = QUERIES["histogram_percentiles"].on(events=mine).first()
