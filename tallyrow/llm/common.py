@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,20 @@ def give_back() -> None:
         trim(0)
 
 
+def trim_driver(spark: SparkSession) -> str:
+    """Returns native memory that the driver's JVM has freed (its compiler takes most of it) to the system; says what came of it, nothing where the JVM has no such command."""
+    jvm = spark.sparkContext._jvm
+    kind = lambda name: jvm.java.lang.Class.forName(name)
+    types, args = spark.sparkContext._gateway.new_array(jvm.java.lang.Class, 4), spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    types[0], types[1], types[2], types[3] = (kind(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By the interface's method: the server's own class can't be called from outside its module.
+        return str(kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args))
+    except Py4JError:
+        return ""
+
+
 def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow; a worker that waits for its next task then holds little memory of the last one."""
 
@@ -99,9 +114,14 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to; else they stay until the driver happens to collect its garbage.
+
+    Each of many plans also leaves memory that the driver's JVM has freed and not given back.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+    give_back()
 
 
 def packed(docs: DataFrame) -> Column:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import LOWER, hashes, mix, spans, texts_of
-from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, freeing, give_back, join_small, marked, packed, release, ship, staged
+from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, freeing, give_back, join_small, marked, packed, release, ship, staged, trim_driver
 
 #: Words of a shingle, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 3, 90
@@ -268,6 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).filter("u != v")
         old, edges = edges, staged(small.distinct(), "star")
         discard(old, least, large, low)
+        trim_driver(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             out = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))

@@ -8,7 +8,7 @@ from brute import brute_components, contaminated, item_windows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyrow.llm import tokens
+from tallyrow.llm import common, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,6 +76,14 @@ def test_run_is_the_stages(spark, kept):
     assert got.columns == kept[4][1].columns and got.count() > 0
 
 
+def test_release_trims_the_driver(spark, monkeypatch):
+    assert "rim native heap" in common.trim_driver(spark)
+    said, trim = [], common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda s: said.append(trim(s)))
+    common.release(spark)
+    assert len(said) == 1 and "rim native heap" in said[0]
+
+
 def test_empty(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
