@@ -30,10 +30,10 @@ def texts_of(batch: pa.RecordBatch, column: str) -> tuple[memoryview, np.ndarray
     return data, offsets - offsets[0]
 
 
-def spans(view: np.ndarray, offsets: np.ndarray, white: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of other bytes than white ones, and how many of them lie before each offset."""
+def spans(view: np.ndarray, offsets: np.ndarray, white: np.ndarray = SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of other bytes than white ones, and how many of them lie before each offset; runs also end where cuts is true (one longer than view)."""
     ink = ~white[view]
-    edge = np.zeros(len(view) + 1, bool)
+    edge = np.zeros(len(view) + 1, bool) if cuts is None else cuts
     edge[offsets] = True
     before, after = np.zeros(len(view), bool), np.zeros(len(view), bool)
     before[1:], after[:-1] = ink[:-1], ink[1:]

@@ -2,11 +2,14 @@
 
 Encoder wraps a file of the tokenizers library. If the file splits words by the pattern
 below (its normaliser and splitter are read and compared), no token spans white space,
-so the ids of a text are those of its white-space pieces in turn. Pieces repeat: each
-one goes through the library's normaliser, splitter and model once, and is found again
-by a 64-bit hash of its bytes, computed for a whole batch at a time. The table of pieces
-is bounded and starts anew when full. Any other file is encoded text by text, and so is a
-text that may hold the string of an added token, for the library looks for those first.
+so the ids of a text are those of its white-space pieces in turn; nor does one span a
+letter and a mark of ASCII next to it (but `'s` and the like), so a word and its full
+stop are pieces of their own. Pieces repeat: each one goes through the library's
+normaliser, splitter and model once, and is found again by a 64-bit hash of its bytes,
+computed for a whole batch at a time. The table of pieces is bounded; when it is full,
+those stay that were met again since it last was. Any other file is encoded text by text,
+and so is a text that may hold the string of an added token, for the library looks for
+those first.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import numpy as np
 
 from tallyrow.llm.bytescan import groups, hash_group, spans
 
-#: Pieces and words kept by an Encoder; beyond that the table starts anew.
-PIECES = 400_000
+#: Pieces and words kept by an Encoder.
+PIECES = 500_000
 WORDS = 80_000
 #: Appended to each document.
 END = 2
@@ -33,6 +36,8 @@ _PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*").fullmatch
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f\u2c65\u2c66]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u024f\u2c65\u2c66]+").findall
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 13, 32]] = True
+# Letters of ASCII: 1; its marks: 2, the apostrophe: 3.
+_CLASS = np.array([1 if chr(b).isalpha() else 3 if b == 39 else 2 if 33 <= b < 127 and not chr(b).isdigit() else 0 for b in range(128)] + [0] * 128, np.uint8)
 
 _made: dict[str, "Encoder"] = {}
 
@@ -86,6 +91,7 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int32)
+        self.again = np.zeros(1 << 16, bool)
 
     # -- ids of a piece, by the library
 
@@ -146,7 +152,7 @@ class Encoder:
         sizes = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
         while self.known + len(h) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.again))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -156,6 +162,20 @@ class Encoder:
         self.known += len(h)
         self._put(h, numbers)
 
+    def _forget(self) -> None:
+        """Leaves the pieces that were met again, half of the table at most, the oldest first."""
+        slots = np.flatnonzero(self.keys)
+        slots = slots[self.again[self.number[slots]]]
+        slots = slots[np.argsort(self.number[slots])][: self.most // 2]
+        old, keys = self.number[slots], self.keys[slots]
+        size = self.size[old]
+        stop = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[np.repeat(self.first[old] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        self.keys[:], self.again[:] = 0, False
+        self.known, self.used = len(old), len(ids)
+        self.ids[: len(ids)], self.size[: len(old)], self.first[: len(old)] = ids, size, stop - size
+        self._put(keys, np.arange(len(old), dtype=np.int32))
+
     def encode_batch(self, data: bytes | memoryview, offsets: np.ndarray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of the texts data[offsets[i]:offsets[i + 1]], each with the end id, and their offsets."""
         if not self.by_piece:
@@ -184,7 +204,9 @@ class Encoder:
         n = len(offsets) - 1
         tail = 0 if end is None else 1
         view = np.frombuffer(data, np.uint8)
-        starts, ends, cut = spans(view, offsets, _WHITE)
+        kind, cuts = _CLASS[view], np.zeros(len(view) + 1, bool)
+        cuts[1:-1] = ((kind[:-1] == 1) & (kind[1:] > 1)) | ((kind[:-1] == 2) & (kind[1:] == 1))
+        starts, ends, cut = spans(view, offsets, _WHITE, cuts)
         parts, sizes = [], [np.zeros(0, np.int64)]
         for lo, hi in groups(starts):
             ids, size = self._group(memoryview(data), view, starts[lo:hi], ends[lo:hi])
@@ -205,10 +227,13 @@ class Encoder:
     def _group(self, data: memoryview, view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = hash_group(view, starts, ends) | np.uint64(1)
         row = self._find(h)
+        self.again[row[row >= 0]] = True
         if len(new := np.flatnonzero(row < 0)):
             if self.known + len(new) > self.most:
-                self._clear()
-                new = np.arange(len(h))
+                self._forget()
+                if self.known + len(new) > self.most:
+                    self._clear()
+                new = np.flatnonzero(self._find(h) < 0)
             keys, one = np.unique(h[new], return_index=True)
             self._learn(keys, data, starts[new[one]], ends[new[one]])
             row = self._find(h)

@@ -214,6 +214,23 @@ def test_encoder_is_the_library():
         assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [x + tail for x in want]
 
 
+def _encoded(e, texts):
+    data = [t.encode() for t in texts]
+    ids, bounds = e.encode_batch(b"".join(data), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_encoder_learns_words_once():
+    """A word with marks beside it is that word; what is met again stays when the table is full."""
+    e = tokens.Encoder(tokens.default_path(), pieces=60)
+    texts = ["don't. 'say' it's,don't; (Say)'s a<\u0338b e\u0301.e x''s ..'s --don't--", "say. say, say; say! (say) say$$$ say###", *("".join(chr(97 + int(c)) for c in str(i * 7919)) + " say" for i in range(300))]
+    learnt, learn = [], e._learn
+    e._learn = lambda h, data, starts, ends: (learnt.extend(bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)), learn(h, data, starts, ends))
+    got = [x for at in range(0, len(texts), 2) for x in _encoded(e, texts[at : at + 2])]
+    assert got == [e.model.encode(t, add_special_tokens=False).ids + [tokens.END] for t in texts]
+    assert learnt.count(b"say") == 1 and {x for x in learnt if b"say" in x} == {b"say", b"'say"} and e.known <= 60
+
+
 def test_token_files(spark, docs, empty):
     e = tokens.encoder(tokens.default_path())
     for encoding in ("dictionary", "delta"):
