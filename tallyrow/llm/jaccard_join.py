@@ -25,6 +25,8 @@ threshold g.
    component, with other leaders; what is open then goes to remaining(), which finds
    the links across components without making all pairs of a bucket. Every pair not
    compared is in one component by then or can't be linked, so no link is lost.
+   Before sets are sent to their leaders, sketches of SKETCH bits are compared, which
+   never differ in more bits than their sets in elements.
 5. components(): alternating large-star and small-star steps, in tables.
 
 Staged tables are deleted once nothing reads them.
@@ -54,6 +56,8 @@ WORDS, PERCENT = 3, 90
 N2, K2 = 3, 1
 #: Members' sets go to their leaders in so many parts, one after the other, so that their shuffle takes a part of the disk.
 SLICES = 4
+#: Bits of a set's sketch, a power of two: each element flips one.
+SKETCH = 1 << 10
 #: Rounds of leaders before remaining().
 ROUNDS = 2
 #: Signatures a task holds before it sends them on, and about how many make a shard.
@@ -143,6 +147,12 @@ def signatures(s: np.ndarray, ends: np.ndarray, most: np.ndarray) -> tuple[np.nd
     return np.concatenate(out), np.concatenate(own)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A bit for each cell of the range of hashes, set if an odd number of elements lies there; as longs."""
+    odd = np.bincount((s >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _summaries(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +256,9 @@ def _sets(words: int):
                 flat = np.concatenate([np.zeros(0, np.uint64), *got]).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in got])])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in got], pa.int64()), lists], ["sid", "s"])
+                own = np.concatenate([np.zeros(0, np.int64), *map(sketch, got)])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * (SKETCH // 64), pa.int32()), pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in got], pa.int64()), lists, bits], ["sid", "s", "k"])
 
     return run
 
@@ -386,10 +398,19 @@ def _these(sets: DataFrame, sids: DataFrame) -> DataFrame:
     return marked(sets.withColumn("_k", F.xxhash64("sid")), keys, "_k").filter("_maybe").select("sid", "s")
 
 
-def led(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (sid, y, n, ny) whose sketches differ in no more bits than linked sets may in elements."""
+    one, two = sketches.select("sid", F.col("k").alias("k1")), sketches.select(F.col("sid").alias("y"), F.col("k").alias("k2"))
+    differ = F.expr(" + ".join(f"bit_count(k1[{i}] ^ k2[{i}])" for i in range(SKETCH // 64)))
+    both = pairs.join(one.hint("merge"), "sid").join(two.hint("merge"), "y")
+    return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("ny"))).select("sid", "y")
+
+
+def led(open_: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), staged, of the buckets' members sid with their leaders y."""
     fits = 100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")
-    pairs = staged(open_.filter((F.col("comp") != F.col("cy")) & fits).select("sid", "y").distinct(), "pairs")
+    pairs = open_.filter((F.col("comp") != F.col("cy")) & fits).select("sid", "y", "n", "ny").distinct()
+    pairs = staged(_likely(pairs, sketches, percent), "pairs")
     made = []
     for k in range(SLICES):
         own = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(SLICES)) == k)
@@ -435,8 +456,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     # The sets of these classes, each from the text of its representative; a set may be there more than once, or not needed.
     wanted = live.select("sid").distinct().join(reps, "sid").select("r.doc_id", "r._th")
     wanted = staged(wanted.select(F.xxhash64("doc_id", "_th").alias("_k")), "wanted")
-    sets = marked(texts, wanted, "_k").filter("_maybe").select("text").mapInArrow(freeing(_sets(words)), "sid long, s array<long>")
+    sets = marked(texts, wanted, "_k").filter("_maybe").select("text").mapInArrow(freeing(_sets(words)), "sid long, s array<long>, k array<long>")
     sets = staged(sets, "sets")
+    sketches = staged(sets.select("sid", "k").dropDuplicates(["sid"]), "sketches")
     discard(wanted)
 
     links = comp = None
@@ -458,7 +480,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         if step == ROUNDS:
             new = remaining(live.select("sig", "sid", "n", "comp", "_a"), links, sets, percent)
         else:
-            new = led(live, sets, percent)
+            new = led(live, sets, sketches, percent)
         held.append(new)
         release(spark)
         if not new.isEmpty():
@@ -468,7 +490,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         rest = live.filter("sid != y").select("sig", "sid", "n")
         rest.staged_at = live.staged_at
         live = rest
-    discard(live, sets, *held)
+    discard(live, sets, sketches, *held)
     release(spark)
     several = reps.select("sid", "least", "rows")
     if comp is None:

@@ -214,6 +214,21 @@ def test_encoder_is_the_library():
         assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [x + tail for x in want]
 
 
+def test_sketches_spare_sets_without_losing_links(spark):
+    """Of random pairs none goes on to its leader, and each linked one does, at the threshold itself too."""
+    rng = np.random.default_rng(9)
+    sets, pairs = [], []
+    for i in range(40):
+        n, d = 45 * (i + 1), 5 * (i + 1)  # n - d shared elements of n + d: similarity 0.8
+        x = rng.integers(0, 1 << 63, n + d, np.uint64) * np.uint64(2)
+        sets += [np.sort(x[:n]), np.sort(x[d:]), np.sort(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))]
+        pairs += [(3 * i, 3 * i + 1, n, n), (3 * i, 3 * i + 2, n, n)]
+        assert 100 * len(np.intersect1d(sets[-3], sets[-2])) == 80 * len(np.union1d(sets[-3], sets[-2]))
+    sketches = spark.createDataFrame([(i, jaccard_join.sketch(s).tolist()) for i, s in enumerate(sets)], "sid long, k array<long>")
+    got = jaccard_join._likely(spark.createDataFrame(pairs, "sid long, y long, n long, ny long"), sketches, 80)
+    assert sorted(map(tuple, got.collect())) == [(3 * i, 3 * i + 1) for i in range(40)]
+
+
 def _encoded(e, texts):
     data = [t.encode() for t in texts]
     ids, bounds = e.encode_batch(b"".join(data), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
