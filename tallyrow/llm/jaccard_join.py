@@ -18,7 +18,8 @@ threshold g.
 3. shared(): signatures meet in one exchange of packed blocks. A task signs a set once
    however many copies of it it reads, and a signature that many of its sets share is
    known to be shared there: its members go straight on, dealt by set, with one mark for
-   the other tasks, so a hot signature isn't collected in one task.
+   the other tasks, so a hot signature isn't collected in one task. In a block a
+   signature has WIDTH bytes, and its shard stands for the others.
 4. Sets that share a signature are compared exactly, but not all with all: connectivity
    is what counts. First each member with the leader of its bucket; linked sets
    are contracted to components; then, in the buckets that still hold more than one
@@ -62,6 +63,10 @@ SKETCH = 1 << 10
 ROUNDS = 2
 #: Signatures a task holds before it sends them on, and about how many make a shard.
 HELD, SHARD = 1 << 18, 1 << 19
+#: Bytes of a signature in a block, besides its shard; two that agree in them by chance are compared in vain.
+WIDTH = 5
+#: Columns of blocks.
+BLOCKS = "shard int, sig binary, sid binary, flag binary, high binary"
 #: A signature that so many of a task's sets share goes straight on.
 HOT = 16
 #: Elements of all pivots that may be broadcast.
@@ -167,36 +172,46 @@ def _summaries(words: int):
     return run
 
 
-def _blocks(sig: np.ndarray, sid: np.ndarray, flag: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    """A row for each shard; within it in the given order, so that a set's repeated number packs well."""
+def _blocks(sig: np.ndarray, sid: np.ndarray, flag: np.ndarray, shard: np.ndarray, width: int) -> pa.RecordBatch:
+    """A row for each shard; within it in the given order, so that a set's repeated number packs well.
+
+    sig is cut to its low bytes, so many as width; the others are in high for what goes straight on, else the shard tells them.
+    """
     order = np.argsort(shard, kind="stable")
-    sig, sid, flag, shard = sig[order], sid[order], flag[order], shard[order]
+    sig, sid, flag, shard = sig[order].astype("<u8").view(np.uint8).reshape(-1, 8), sid[order], flag[order], shard[order]
     ids, first = np.unique(shard, return_index=True)
     cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True))
-    columns = [pa.array(ids, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (sig, sid, flag))]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "sig", "sid", "flag"])
+    columns = [pa.array(ids, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (sig[:, :width], sid, flag))]
+    high = pa.array([sig[a:b, width:][flag[a:b] == STRAIGHT].tobytes() for a, b in cuts], pa.binary())
+    return pa.RecordBatch.from_arrays([*columns, high], ["shard", "sig", "sid", "flag", "high"])
 
 
-def _signed(words: int, percent: int, shards: int):
-    """Signatures of a task's sets as blocks."""
+def _flushed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, width: int) -> pa.RecordBatch:
+    """Blocks of (sig, sid, own). Below 8 bytes, above width are the number of the shard: some signatures become equal then, but none unequal."""
 
     def by_sig(sig: np.ndarray) -> np.ndarray:
         return ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        sig, sid, own = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(sig, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0]))
-        many = np.diff(first, append=len(sig))
-        hot = np.zeros(len(sig), bool)
-        hot[order] = np.repeat(many >= HOT, many)
-        marks = order[first[many >= HOT]]
-        cold = np.flatnonzero(~hot)
-        hot = np.flatnonzero(hot)
-        take = np.concatenate([cold, marks, hot])
-        flag = np.concatenate([own[cold].astype(np.uint8), np.full(len(marks), MARK, np.uint8), np.full(len(hot), STRAIGHT, np.uint8)])
-        shard = np.concatenate([by_sig(sig[cold]), by_sig(sig[marks]), by_sig(mix(sid[hot].view(np.uint64)))])
-        return _blocks(sig[take], sid[take], flag, shard)
+    sig, sid, own = (np.concatenate(x) for x in zip(*held, strict=True))
+    shard = by_sig(sig)
+    if width < 8:
+        sig = shard.astype(np.uint64) << np.uint64(8 * width) | sig & np.uint64((1 << 8 * width) - 1)
+    order = np.argsort(sig, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0]))
+    many = np.diff(first, append=len(sig))
+    hot = np.zeros(len(sig), bool)
+    hot[order] = np.repeat(many >= HOT, many)
+    marks = order[first[many >= HOT]]
+    cold = np.flatnonzero(~hot)
+    hot = np.flatnonzero(hot)
+    take = np.concatenate([cold, marks, hot])
+    flag = np.concatenate([own[cold].astype(np.uint8), np.full(len(marks), MARK, np.uint8), np.full(len(hot), STRAIGHT, np.uint8)])
+    shard = np.concatenate([shard[cold], shard[marks], by_sig(mix(sid[hot].view(np.uint64)))])
+    return _blocks(sig[take], sid[take], flag, shard, width)
+
+
+def _signed(words: int, percent: int, shards: int):
+    """Signatures of a task's sets as blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, most = bands(1000, percent)
@@ -215,11 +230,36 @@ def _signed(words: int, percent: int, shards: int):
                     held.append((sig, np.full(len(sig), sid), own))
                     size += len(sig)
                     if size >= HELD:
-                        yield flush(held)
+                        yield _flushed(held, shards, WIDTH)
                         held, size = [], 0
                         give_back()
         if held:
-            yield flush(held)
+            yield _flushed(held, shards, WIDTH)
+
+    return run
+
+
+def _placed(shards: int):
+    """Elements e of the codes of a task's sets as blocks; sig is a hash of g, coded and the element, odd if coded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                g, sid, coded = (part.column(c).to_numpy(zero_copy_only=False) for c in ("g", "sid", "coded"))
+                n = part.column("e").value_lengths().to_numpy(zero_copy_only=False)
+                own = mix(mix(g.view(np.uint64)) + coded.astype(np.uint64))
+                sig = mix(part.column("e").flatten().to_numpy(zero_copy_only=False).view(np.uint64) + np.repeat(own, n))
+                sig = sig & ~np.uint64(1) | np.repeat(coded.astype(np.uint64), n)
+                held.append((sig, np.repeat(sid, n), np.ones(len(sig), bool)))
+                size += len(sig)
+                if size >= HELD:
+                    yield _flushed(held, shards, 8)
+                    held, size = [], 0
+                    give_back()
+        if size:
+            yield _flushed(held, shards, 8)
 
     return run
 
@@ -227,11 +267,17 @@ def _signed(words: int, percent: int, shards: int):
 def _shared(table: pa.Table) -> pa.Table:
     """Of a shard: sig, sid of the signatures that several sets have, one of them for its own band."""
     give_back()  # what the shard before took
-    sig, sid, flag = (
+    low, sid, flag, high = (
         np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)])
-        for c, kind in (("sig", np.uint64), ("sid", np.int64), ("flag", np.uint8))
+        for c, kind in (("sig", np.uint8), ("sid", np.int64), ("flag", np.uint8), ("high", np.uint8))
     )
-    straight = flag == STRAIGHT
+    straight, width = flag == STRAIGHT, len(low) // len(flag)
+    sig = np.zeros((len(flag), 8), np.uint8)
+    sig[:, :width] = low.reshape(-1, width)
+    sig[straight, width:] = high.reshape(np.count_nonzero(straight), 8 - width)
+    sig = sig.view("<u8").ravel()
+    if width < 8:
+        sig[~straight] |= np.uint64(table.column("shard")[0].as_py() << 8 * width)
     out = [(sig[straight], sid[straight])]
     sig, sid, flag = sig[~straight], sid[~straight], flag[~straight]
     if len(sig):
@@ -327,7 +373,9 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
     pivots = ranked.groupBy("g").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), "sid")).alias("p")).select("g", F.col("p.sid").alias("sid"))
     sets = keep(members.join(_these(sets, members).hint("merge"), "sid").dropDuplicates(["sid"]), "open-sets")
     release(sets.sparkSession)
-    pivots = keep(pivots.join(sets.select("sid", "s"), "sid").select("g", F.col("s").alias("p")), "pivots")
+    # Pivots are few, so their sets are found without an exchange of all of them.
+    chosen = keep(pivots, "chosen")
+    pivots = keep(join_small(sets.select("sid", "s"), chosen, ["sid"], "inner", salt=F.col("sid"), salts=1).select("g", F.col("s").alias("p")), "pivots")
     # The pivots are broadcast if all their elements together are few.
     small = (pivots.agg(F.sum(F.size("p"))).first()[0] or 0) <= PIVOTS
     coded = join_small(sets, pivots, ["g"], "inner", salt=F.col("sid"), limit=BROADCAST_ROWS if small else 0)
@@ -359,21 +407,25 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
     near = marked(coded.filter("near").withColumn("_k", F.xxhash64("sid")), prefixed, "_k").filter("_maybe")
     far = keep(coded.filter("NOT near").select("g").distinct(), "far")
     mixed = join_small(coded, far, ["g"], "inner", salt=F.col("sid"))
-    codes = [near.select("g", "sid", F.lit(True).alias("coded"), F.explode(F.concat("a", "r")).alias("e")), mixed.select("g", "sid", F.lit(False).alias("coded"), F.explode("a").alias("e"))]
-    elements = codes[0].union(codes[1])
-    common = elements.groupBy("g", "coded", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    # Elements meet once, as packed hashes; what goes on is those that several sets of the group have.
+    codes = near.select("g", "sid", F.lit(True).alias("coded"), F.concat("a", "r").alias("e")).union(mixed.select("g", "sid", F.lit(False).alias("coded"), F.col("a").alias("e")))
+    shards = max(4, math.ceil((coded.agg(F.sum(2 * F.col("na") + F.size("r"))).first()[0] or 0) / SHARD))
+    elements = keep(codes.mapInArrow(freeing(_placed(shards)), BLOCKS).groupBy("shard").applyInArrow(_shared, "sig long, sid long").withColumnRenamed("sig", "e"), "elements")
+    release(elements.sparkSession)
+    common = elements.groupBy("e").agg(F.count("*").alias("df"))
+    elements = elements.withColumn("coded", F.col("e").bitwiseAND(F.lit(1)) != 0)
     own = Window.partitionBy("sid", "coded")
-    seen = elements.join(common.hint("merge"), ["g", "coded", "e"]).withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
+    seen = elements.join(common.hint("merge"), "e").withColumn("k", F.row_number().over(own.orderBy("df", "e"))).withColumn("all", F.count("*").over(own))
     prefix = seen.join(placed, "sid").withColumn("i", F.expr("if(coded, ne, na) - all + k")).filter("i <= if(coded, p0, pa)")
-    prefix = keep(prefix.select("g", "coded", "e", "sid", "n", "w", "c", "near", "inside", "label", F.expr("if(coded, ne, na) - i").alias("rest"), F.expr("coded AND i <= p1").alias("short")), "prefix")
+    prefix = keep(prefix.select("coded", "e", "sid", "n", "w", "c", "near", "inside", "label", F.expr("if(coded, ne, na) - i").alias("rest"), F.expr("coded AND i <= p1").alias("short")), "prefix")
     release(prefix.sparkSession)
     of = ("sid", "n", "w", "c", "near", "inside", "label", "rest", "short")
-    x = prefix.filter("if(coded, NOT inside, NOT near)").select("g", "coded", "e", *(F.col(c).alias(f"{c}x") for c in of))
-    y = prefix.select("g", "coded", "e", *(F.col(c).alias(f"{c}y") for c in of))
+    x = prefix.filter("if(coded, NOT inside, NOT near)").select("coded", "e", *(F.col(c).alias(f"{c}x") for c in of))
+    y = prefix.select("coded", "e", *(F.col(c).alias(f"{c}y") for c in of))
     may = F.expr(f"""labelx != labely AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND if(coded,
         (insidey OR (sidx < sidy AND shortx AND shorty)) AND {d} * (1 + least(restx, resty)) >= wx + wy,
         (neary OR sidx < sidy) AND {100 + percent} * (1 + least(restx, resty) + least(cx, cy)) >= {percent} * (nx + ny))""")
-    pairs = keep(x.join(y, ["g", "coded", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
+    pairs = keep(x.join(y, ["coded", "e"]).filter(may).select("sidx", "sidy").distinct(), "pairs")
     release(pairs.sparkSession)
     coded = coded.select("sid", "w", F.concat("a", "r").alias("s"))
     needed = marked(coded.withColumn("_k", F.xxhash64("sid")), pairs.select(F.explode(F.array(F.xxhash64("sidx"), F.xxhash64("sidy"))).alias("_k")), "_k")
@@ -433,7 +485,7 @@ def shared(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
     total = reps.agg(F.sum("n")).first()[0] or 0
     expected = total * 6.4 * (100 - percent) / (100 + percent)
     shards = max(4, math.ceil(expected / SHARD))
-    blocks = texts.select("text").mapInArrow(freeing(_signed(words, percent, shards)), "shard int, sig binary, sid binary, flag binary")
+    blocks = texts.select("text").mapInArrow(freeing(_signed(words, percent, shards)), BLOCKS)
     live = staged(blocks.groupBy("shard").applyInArrow(_shared, "sig long, sid long"), "shared")
     out = staged(live.join(reps.select("sid", "n"), "sid"), "live")
     discard(live)

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +231,56 @@ def test_sketches_spare_sets_without_losing_links(spark):
     assert sorted(map(tuple, got.collect())) == [(3 * i, 3 * i + 1) for i in range(40)]
 
 
+def _meet(blocks):
+    """Sharers of each signature, by the shards of the blocks."""
+    table, found = pa.Table.from_batches(blocks), defaultdict(set)
+    for shard in set(table.column("shard").to_pylist()):
+        for r in jaccard_join._shared(table.filter(pc.equal(table.column("shard"), shard))).to_pylist():
+            found[r["sig"]].add(r["sid"])
+    return sorted(map(sorted, found.values()))
+
+
+@pytest.mark.parametrize("hot", [2, 16])
+def test_signatures_meet_in_few_bytes(monkeypatch, hot):
+    """A signature takes five bytes in its block, and the same sets meet, over several tasks too."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    texts = [t for i, t in near_copies() if i is not None]
+    by, sizes = defaultdict(set), 0
+    for s in jaccard_join.shingle_sets(*jaccard_join.texts_of(pa.record_batch({"text": texts}), "text"), 3):
+        if len(s):
+            sig, own = jaccard_join.signatures(s, *jaccard_join.bands(1000, 90))
+            for x, o in zip(sig.tolist(), own.tolist(), strict=True):
+                by[x].add((jaccard_join.identity(s), o))
+    blocks = [b for k in range(3) for b in jaccard_join._signed(3, 90, 7)(iter([pa.record_batch({"text": texts[k::3]})]))]
+    for b in blocks:
+        sizes += sum(len(x) for x in b.column("sig").to_pylist()) == 5 * sum(len(x) for x in b.column("flag").to_pylist())
+    assert sizes == len(blocks)
+    want = [{i for i, _ in x} for x in by.values() if len({i for i, _ in x}) > 1 and any(o for _, o in x)]
+    got = _meet(blocks)
+    if hot == 2:  # what several sets of one task share for the next band goes on as well
+        assert all(sorted(x) in got for x in want)
+    else:
+        assert got == sorted(map(sorted, want))
+
+
+@pytest.mark.parametrize("hot", [2, 16])
+def test_elements_meet_once(monkeypatch, hot):
+    """Of packed elements those stay that several sets of a group share, coded ones apart from others."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "HELD", 40)
+    rng, rows, by = np.random.default_rng(4), [], defaultdict(set)
+    for sid in range(60):
+        g, coded = sid % 3, sid % 2 == 0
+        e = sorted(set(rng.integers(-30, 30, sid % 11).tolist()))
+        rows.append((g, sid, coded, e))
+        for x in e:
+            by[g, coded, x].add(sid)
+    kind = pa.schema([("g", pa.int64()), ("sid", pa.int64()), ("coded", pa.bool_()), ("e", pa.list_(pa.int64()))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k::2], strict=True), kind.types, strict=True)], schema=kind) for k in range(2)]
+    blocks = [b for x in batches for b in jaccard_join._placed(5)(iter([x]))]
+    assert _meet(blocks) == sorted(sorted(x) for x in by.values() if len(x) > 1)
+
+
 def _encoded(e, texts):
     data = [t.encode() for t in texts]
     ids, bounds = e.encode_batch(b"".join(data), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
