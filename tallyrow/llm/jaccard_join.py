@@ -338,7 +338,8 @@ def components(edges: DataFrame) -> DataFrame:
 def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), staged, that join the components left in the buckets open_ (sig, sid, n, comp, _a: the bucket's least comp).
 
-    Buckets that share a component form a group, and one member of it is the pivot p. A
+    The table sets is deleted once those of the buckets are copied. Buckets that share a
+    component form a group, and one member of it is the pivot p. A
     set x is coded by its difference from p, E(x). Two sets differ in
     |E(x)| + |E(y)| - 2 |E(x) & E(y)| elements, so with W(x) = (100 + percent) |E(x)| -
     (100 - percent) |x| they link just when 2 (100 + percent) |E(x) & E(y)| >= W(x) + W(y).
@@ -371,8 +372,16 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
     else:
         ranked = members.withColumn("deg", F.lit(0))
     pivots = ranked.groupBy("g").agg(F.max(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), "sid")).alias("p")).select("g", F.col("p.sid").alias("sid"))
-    sets = keep(members.join(_these(sets, members).hint("merge"), "sid").dropDuplicates(["sid"]), "open-sets")
-    release(sets.sparkSession)
+    # In parts, so that their shuffle takes a part of the disk; then the table of all sets has had its last use.
+    parts = []
+    for k in range(SLICES):
+        own = members.filter(F.pmod(F.xxhash64("sid"), F.lit(SLICES)) == k)
+        parts.append(keep(own.join(_these(sets, own).hint("merge"), "sid").dropDuplicates(["sid"]), "open-sets"))
+        release(members.sparkSession)
+    discard(sets)
+    sets = parts[0]
+    for x in parts[1:]:
+        sets = sets.union(x)
     # Pivots are few, so their sets are found without an exchange of all of them.
     chosen = keep(pivots, "chosen")
     pivots = keep(join_small(sets.select("sid", "s"), chosen, ["sid"], "inner", salt=F.col("sid"), salts=1).select("g", F.col("s").alias("p")), "pivots")
@@ -400,7 +409,7 @@ def remaining(open_: DataFrame, links: DataFrame | None, sets: DataFrame, percen
     beyond = F.col("na") + 1 - F.greatest(F.lit(1), F.expr(f"({percent} * n + 99) div 100 - (n - na)"))
     placed = placed.withColumn("p0", F.coalesce(F.greatest("p0", "p1"), F.lit(0))).withColumn("pa", beyond).withColumn("c", F.col("n") - F.col("na"))
     placed = keep(placed.filter("p0 > 0 OR pa > 0").select("sid", "n", "w", "ne", "na", "c", "near", "inside", "p0", "p1", "pa", F.when(F.col("inside"), F.col("c0")).otherwise(F.col("comp")).alias("label")), "placed")
-    discard(sets, pivots)
+    discard(*parts, pivots)
     release(sets.sparkSession)
     # Codes are needed of near sets with a prefix, elements outside p only in groups that have a set that isn't near.
     prefixed = keep(placed.filter("p0 > 0").select(F.xxhash64("sid").alias("_k")), "prefixed")
@@ -487,6 +496,7 @@ def shared(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
     shards = max(4, math.ceil(expected / SHARD))
     blocks = texts.select("text").mapInArrow(freeing(_signed(words, percent, shards)), BLOCKS)
     live = staged(blocks.groupBy("shard").applyInArrow(_shared, "sig long, sid long"), "shared")
+    release(texts.sparkSession)
     out = staged(live.join(reps.select("sid", "n"), "sid"), "live")
     discard(live)
     release(texts.sparkSession)

@@ -456,3 +456,23 @@ def test_elias_fano_against_brute_force():
             assert (e.find(asked.astype(np.uint64), lo, hi) == np.where(there, place, -1)).all()
     repeated = np.sort(rng.integers(0, 50, 400))  # as pointers may be
     assert (EliasFano.of(repeated, 51).get(np.arange(400)) == repeated).all()
+
+
+def test_remaining_frees_all_sets_before_the_codes(spark, monkeypatch):
+    """The table of all sets is gone, and open sets came in parts, when elements are written; components stay right."""
+    made, seen, staged = {}, [], jaccard_join.staged
+
+    def noted(df, name, **options):
+        if name == "elements":
+            seen.append(Path(made["sets"][0].removeprefix("file:")).exists())
+        out = staged(df, name, **options)
+        made.setdefault(name, []).append(out.staged_at)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", noted)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)  # all that share a signature are left for remaining()
+    rows = [r for r in near_copies() if r[0] is not None][-150:]
+    _, comp = brute_components(rows, 3, 90)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == comp
+    assert seen == [False] and len(made["open-sets"]) == jaccard_join.SLICES
