@@ -71,6 +71,12 @@ def trim_driver(spark: SparkSession) -> str:
         return ""
 
 
+def trim_executors(spark: SparkSession) -> None:
+    """Lets the JVM of each executor collect its garbage, after which it returns heap that it doesn't use to the system. Else a heap stays as large as the stage before made it, beside the Python workers of the next."""
+    n = spark.sparkContext.defaultParallelism  # a task for each core
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow; a worker that waits for its next task then holds little memory of the last one."""
 

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import texts_of
-from tallyrow.llm.common import documents, join_small, ship, staged
-from tallyrow.llm.tokens import END, crc, default_path, encoder
+from tallyrow.llm.common import documents, freeing, give_back, join_small, ship, staged, trim_executors
+from tallyrow.llm.tokens import END, crc, default_path, encoder, forget
 
 WINDOW = 4096
 SHARD_BYTES = 2 << 20
@@ -247,7 +247,7 @@ def grow(rows: DataFrame, path: str, end: int, count: int, total: int, shard_byt
 
     chosen = rows.filter(F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) < int(share * (1 << 20))) if leaves > 1 else rows.limit(0)
     # At most SAMPLE documents, and of each only its different ids.
-    got = chosen.mapInArrow(run, "size long, length long, term binary, tf binary").toArrow().combine_chunks()
+    got = chosen.mapInArrow(freeing(run), "size long, length long, term binary, tf binary").toArrow().combine_chunks()
     if not len(got):
         return Tree(np.zeros((0, DIMS), np.float32), np.zeros(0), 1), np.zeros(n), 1.0
     term, begins = _unbinary(got["term"].combine_chunks(), np.dtype("<u4"))
@@ -273,6 +273,9 @@ def frequencies(coded: DataFrame, path: str, end: int) -> tuple[np.ndarray, int,
     n, kind = _kind(path, end)
 
     def run(batches):
+        # All texts are encoded; a worker needs neither again.
+        forget()
+        _planes.clear()
         df, docs, length = np.zeros(n, np.int64), 0, 0
         for batch in _few(batches):
             ids, bounds = _unbinary(batch.column("ids"), kind)
@@ -282,7 +285,7 @@ def frequencies(coded: DataFrame, path: str, end: int) -> tuple[np.ndarray, int,
         yield pa.RecordBatch.from_pydict({"t": np.concatenate([[-1, -2], seen]), "n": np.concatenate([[docs, length], df[seen]])})
 
     # A row for each id, whatever the input.
-    got = coded.select("ids").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    got = coded.select("ids").mapInArrow(freeing(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     by = dict(zip(got["t"].to_pylist(), got["n"].to_pylist(), strict=True))
     docs, length = by.pop(-1, 0), by.pop(-2, 0)
     df = np.zeros(n, np.int64)
@@ -330,6 +333,7 @@ def _pack(path: str, window: int, end: int, with_ids: bool, df: np.ndarray, docs
         columns = {"doc_id": batch.column("doc_id").take(pa.array(doc)), "start": start, "length": size, "ids_crc32": np.array([crc(x) for x in spans], np.int64), "doc_tokens": np.diff(bounds)[doc], "sequence_id": (shard << 32) + seq, "offset": offset}
         if with_ids:
             columns["ids"] = pa.array([x.view(np.int32) for x in spans], pa.list_(pa.int32()))
+        give_back()
         return pa.table(columns)
 
     return run
@@ -342,7 +346,7 @@ def coded(docs: DataFrame, path: str, shard_bytes: int, end: int) -> tuple[DataF
     tree, weight, mean = grow(rows, path, end, said.n, said.total or 0, shard_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, _h long, size long, leaf long, bands array<long>, ids binary"
-    return staged(rows.mapInArrow(_encode(path, end, tree, weight, mean), schema), "packing-ids"), tree.leaves
+    return staged(rows.mapInArrow(freeing(_encode(path, end, tree, weight, mean)), schema), "packing-ids"), tree.leaves
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -351,6 +355,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     ship(docs.sparkSession)
     texts, leaves = coded(docs, path, shard_bytes, end)
     run = _pack(path, window, end, with_ids, *frequencies(texts, path, end))
+    trim_executors(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return route(texts, leaves, shard_bytes).select("doc_id", "_h", "_shard", "ids").groupBy("_shard").applyInArrow(run, schema)

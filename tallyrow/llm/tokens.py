@@ -55,6 +55,11 @@ def encoder(path: str) -> "Encoder":
     return _made[path]
 
 
+def forget() -> None:
+    """Drops the process's Encoders; encoder() makes them anew."""
+    _made.clear()
+
+
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

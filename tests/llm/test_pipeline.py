@@ -8,7 +8,7 @@ from brute import brute_components, contaminated, item_windows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyrow.llm import common, tokens
+from tallyrow.llm import common, packing, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +84,38 @@ def test_release_trims_the_driver(spark, monkeypatch):
     assert len(said) == 1 and "rim native heap" in said[0]
 
 
+def test_stages_and_packing_collect_garbage_on_executors(spark, monkeypatch):
+    beans = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = beans()
+    common.trim_executors(spark)
+    assert beans() > before
+    said = []
+    monkeypatch.setattr(corpus_pipeline, "trim_executors", said.append)
+    monkeypatch.setattr(packing, "trim_executors", said.append)
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, empty, SF)
+        assert len(said) == k + (k == 5)
+
+
+def test_counting_ids_drops_the_encoder(spark, monkeypatch):
+    class Coded:
+        """Runs what is mapped here, as a worker does."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            assert sum(b.num_rows for b in run(iter([]))) == 2
+            raise StopIteration
+
+    monkeypatch.setattr(tokens, "_made", {})
+    tokens.encoder(tokens.default_path())
+    with pytest.raises(StopIteration):
+        packing.frequencies(Coded(), tokens.default_path(), tokens.END)
+    assert not tokens._made
+
+
 def test_empty(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
