@@ -6,8 +6,9 @@ the logistic loss and adds its leaves to that feature's lookup table. The strong
 pairs then get tables of their own, boosted the same way with trees of two features. A
 score is the sum of a bin's entry in each table: vectorised lookups and additions.
 
-The model is fitted on at most about SAMPLE labelled rows, chosen by a hash of the id;
-every text is scored whole.
+The model is fitted on at most about SAMPLE labelled rows, chosen by a hash of the id
+(where many rows share ids, at most about twice as many, drawn by rows); every text is
+scored whole.
 
 Nulls: a null text is empty and scored as such; a null label isn't learned from; a null
 id is carried, not held out, and has no label. Repeated rows each get their result. Without
@@ -152,7 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
     n = own.count()
     picked = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit((1 << 20) * sample / max(n, 1))).limit(2 * sample)
     # At most 2 * sample rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y").mapInArrow(_features_of, "y int, x array<float>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # Rows that share an id all meet its label; the driver gets a bounded number of them too.
+    found = rows.count()
+    if found > 2 * sample:
+        rows = rows.filter(F.rand(7) < 2 * sample / found)
+    rows = rows.select("text", "y").mapInArrow(freeing(_features_of), "y int, x array<float>")
     got = sorted((r.y, r.x) for r in rows.collect())
     return Model(np.array([x for _, x in got], np.float32).reshape(-1, len(FEATURES)), np.array([y for y, _ in got], float))
 

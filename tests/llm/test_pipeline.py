@@ -8,7 +8,7 @@ from brute import brute_components, contaminated, item_windows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyrow.llm import common, packing, tokens
+from tallyrow.llm import common, packing, quality_classifier, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +84,16 @@ def test_release_trims_the_driver(spark, monkeypatch):
     assert len(said) == 1 and "rim native heap" in said[0]
 
 
+def test_classifier_learns_from_a_bounded_sample_of_rows_that_share_ids(spark, monkeypatch):
+    docs = spark.range(2000).select((F.col("id") % 4).alias("doc_id"), F.concat_ws(" ", F.lit("a word"), "id").alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    learned = []
+    monkeypatch.setattr(quality_classifier, "Model", lambda x, y: learned.append((len(x), set(y.tolist()))))
+    quality_classifier.fit(docs, labels, F.lit(True), sample=50)
+    quality_classifier.fit(docs, labels, F.lit(True), sample=5000)
+    assert 50 <= learned[0][0] <= 150 and learned[0][1] == {0.0, 1.0} and learned[1][0] == 2000
+
+
 def test_stages_and_packing_collect_garbage_on_executors(spark, monkeypatch):
     beans = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
     before = beans()
