@@ -22,12 +22,14 @@ threshold g.
    signature has WIDTH bytes, and its shard stands for the others.
 4. Sets that share a signature are compared exactly, but not all with all: connectivity
    is what counts. First each member with the leader of its bucket; linked sets
-   are contracted to components; then, in the buckets that still hold more than one
-   component, with other leaders; what is open then goes to remaining(), which finds
+   are contracted to components; of the buckets that still hold more than one
+   component, those of at most PAIRED members compare all pairs by sketches of SKETCH
+   bits, which never differ in more bits than their sets in elements, and are done once
+   the pairs that this leaves are compared, if those are no more than the members; the
+   others go to other leaders; what is open then goes to remaining(), which finds
    the links across components without making all pairs of a bucket. Every pair not
    compared is in one component by then or can't be linked, so no link is lost.
-   Before sets are sent to their leaders, sketches of SKETCH bits are compared, which
-   never differ in more bits than their sets in elements.
+   Sketches are also compared before sets are sent to their leaders.
 5. components(): alternating large-star and small-star steps, in tables.
 
 Staged tables are deleted once nothing reads them.
@@ -59,10 +61,12 @@ N2, K2 = 3, 1
 SLICES = 4
 #: Bits of a set's sketch, a power of two: each element flips one.
 SKETCH = 1 << 10
-#: Rounds of leaders before remaining().
-ROUNDS = 2
-#: Signatures a task holds before it sends them on, and about how many make a shard.
-HELD, SHARD = 1 << 18, 1 << 19
+#: Rounds before remaining(): leaders, sketches of small buckets, leaders.
+ROUNDS = 3
+#: Members of a bucket whose sketches are all compared, and rows with sketches that a task holds for that.
+PAIRED, SKETCHED = 1 << 10, 1 << 16
+#: Signatures a task holds before it sends them on, and about how many make a shard; in a larger shard a set's number repeats more, and packs better.
+HELD, SHARD = 1 << 18, 1 << 21
 #: Bytes of a signature in a block, besides its shard; two that agree in them by chance are compared in vain.
 WIDTH = 5
 #: Columns of blocks.
@@ -309,6 +313,43 @@ def _sets(words: int):
     return run
 
 
+def _by_sketch(percent: int):
+    """Of whole buckets: the pairs (sid, y) across components that sketches and sizes leave; for a bucket that has more of them than members, its members instead (sig, sid, n; y null)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, sid, n, comp = (table.column(c).to_numpy() for c in ("sig", "sid", "n", "comp"))
+        bits = table.column("k").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
+        order = np.lexsort((sid, sig))
+        order = order[np.concatenate([[True], (np.diff(sig[order]) != 0) | (np.diff(sid[order]) != 0)])]
+        out, left = [np.zeros((2, 0), np.int64)], [order[:0]]
+        for own in np.split(order, np.flatnonzero(np.diff(sig[order])) + 1):
+            size, c = n[own], comp[own]
+            fits = 100 * size[:, None] >= percent * size[None, :]
+            i, j = np.nonzero(np.triu(fits & fits.T & (c[:, None] != c[None, :]), 1))
+            found = []
+            for at in range(0, len(i), 1 << 14):
+                a, b = own[i[at : at + (1 << 14)]], own[j[at : at + (1 << 14)]]
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                may = (100 + percent) * differ <= (100 - percent) * (n[a] + n[b])
+                found.append(np.stack([sid[a[may]], sid[b[may]]]))
+            if sum(x.shape[1] for x in found) > len(own):
+                left.append(own)
+            else:
+                out += found
+        pairs, rest = np.concatenate(out, axis=1), np.concatenate(left)
+        none = np.arange(pairs.shape[1] + len(rest)) < pairs.shape[1]  # of pairs
+        fill = np.zeros(pairs.shape[1], np.int64)
+        columns = [
+            pa.array(np.concatenate([fill, sig[rest]]), mask=none),
+            pa.array(np.concatenate([pairs[0], sid[rest]])),
+            pa.array(np.concatenate([pairs[1], np.zeros(len(rest), np.int64)]), mask=~none),
+            pa.array(np.concatenate([fill, n[rest]]), mask=none),
+        ]
+        return pa.table(columns, names=["sig", "sid", "y", "n"])
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's least node) of edges (a, b), a != b; staged.
 
@@ -471,7 +512,24 @@ def led(open_: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) ->
     """Links (a, b), staged, of the buckets' members sid with their leaders y."""
     fits = 100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")
     pairs = open_.filter((F.col("comp") != F.col("cy")) & fits).select("sid", "y", "n", "ny").distinct()
-    pairs = staged(_likely(pairs, sketches, percent), "pairs")
+    return _linked(staged(_likely(pairs, sketches, percent), "pairs"), sets, percent)
+
+
+def paired(open_: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the buckets (sig, sid, n, comp, m: rows of the bucket) in which sketches leave few pairs; and sig, sid, n of the other buckets; staged."""
+    small = open_.filter(F.col("m") <= PAIRED).select("sig", "sid", "n", "comp")
+    shards = max(4, math.ceil(small.count() / SKETCHED))
+    bits = small.join(sketches.hint("merge"), "sid").withColumn("shard", F.pmod(F.xxhash64("sig"), F.lit(shards)))
+    seen = staged(bits.groupBy("shard").applyInArrow(_by_sketch(percent), "sig long, sid long, y long, n long"), "compared")
+    release(open_.sparkSession)
+    pairs = staged(seen.filter("y IS NOT NULL").select("sid", "y").distinct(), "pairs")
+    rest = staged(open_.filter(F.col("m") > PAIRED).select("sig", "sid", "n").union(seen.filter("y IS NULL").select("sig", "sid", "n")), "live")
+    discard(seen)
+    return _linked(pairs, sets, percent), rest
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), staged, of pairs (sid, y; staged, deleted here), by their sets."""
     made = []
     for k in range(SLICES):
         own = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(SLICES)) == k)
@@ -480,7 +538,7 @@ def led(open_: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) ->
         both = own.join(_these(sets, own).hint("merge"), "sid").join(leaders.hint("merge"), "y").withColumn("i", F.size(F.array_intersect("s", "sy")))
         both = both.filter(100 * F.col("i") >= percent * (F.size("s") + F.size("sy") - F.col("i")))
         made.append(staged(both.select(F.least("sid", "y").alias("a"), F.greatest("sid", "y").alias("b")), "links"))
-        release(pairs.sparkSession)
+        release(sets.sparkSession)
     out = made[0]
     for x in made[1:]:
         out = out.union(x)
@@ -530,17 +588,21 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         if comp is not None:
             open_ = live.join(comp, live.sid == comp.node, "left").select("sig", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
         order = F.xxhash64("sid", F.lit(step))
-        bucket = open_.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min(F.struct(order, "sid", "n", "comp")).alias("l"))
-        bucket = bucket.filter("_a != _b").select("sig", "_a", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.comp").alias("cy"))
+        bucket = open_.groupBy("sig").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("m"), F.min(F.struct(order, "sid", "n", "comp")).alias("l"))
+        bucket = bucket.filter("_a != _b").select("sig", "_a", "m", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.comp").alias("cy"))
         bucket = staged(bucket, "leaders")
         if bucket.isEmpty():
             discard(bucket)
             break
-        # What stays is the members of mixed buckets without their leaders, whose pairs are all compared in this round.
-        old, live = live, staged(open_.join(bucket, "sig").select("sig", "sid", "n", "comp", "_a", "y", "ny", "cy"), "live")
+        # Of mixed buckets. In a round of leaders those don't stay, as all their pairs are compared.
+        old, live = live, staged(open_.join(bucket, "sig").select("sig", "sid", "n", "comp", "_a", "m", "y", "ny", "cy"), "live")
         discard(old, bucket)
+        rest = live.filter("sid != y").select("sig", "sid", "n")
+        rest.staged_at = live.staged_at
         if step == ROUNDS:
             new = remaining(live.select("sig", "sid", "n", "comp", "_a"), links, sets, percent)
+        elif step == 1:
+            new, rest = paired(live, sets, sketches, percent)
         else:
             new = led(live, sets, sketches, percent)
         held.append(new)
@@ -549,8 +611,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
             links = new if links is None else links.union(new)
             discard(comp)
             comp = components(links)
-        rest = live.filter("sid != y").select("sig", "sid", "n")
-        rest.staged_at = live.staged_at
+        if rest.staged_at != live.staged_at:
+            discard(live)
         live = rest
     discard(live, sets, sketches, *held)
     release(spark)

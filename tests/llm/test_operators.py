@@ -231,6 +231,23 @@ def test_sketches_spare_sets_without_losing_links(spark):
     assert sorted(map(tuple, got.collect())) == [(3 * i, 3 * i + 1) for i in range(40)]
 
 
+def test_unrelated_sets_of_a_bucket_need_no_codes(spark, monkeypatch):
+    """Buckets in which sketches leave few pairs are done, with the links in them; large ones and those with more pairs than members stay whole."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(jaccard_join, "PAIRED", 30)
+    base = rng.integers(0, 1 << 63, 500, np.uint64)
+    loose = [np.sort(rng.integers(0, 1 << 63, 300 + i, np.uint64)) for i in range(70)]
+    close = [np.sort(np.concatenate([base[:450], rng.integers(0, 1 << 63, 40, np.uint64)])) for _ in range(8)]
+    ids, copy = [7 * i - 150 for i in range(79)], np.sort(loose[3][:290])
+    sets = dict(zip(ids, [*loose, *close, copy], strict=True))
+    buckets = {1: [*ids[:20], ids[78]], 2: ids[20:60], 3: ids[70:78], 4: ids[:2], 5: [ids[3], ids[78]]}
+    rows = [(g, i, len(sets[i]), i, len(x)) for g, x in buckets.items() for i in x]
+    table = jaccard_join.staged(spark.createDataFrame([(i, s.astype(np.int64).tolist(), jaccard_join.sketch(s).tolist()) for i, s in sets.items()], "sid long, s array<long>, k array<long>"), "sets")
+    links, rest = jaccard_join.paired(spark.createDataFrame(rows, "sig long, sid long, n long, comp long, m long"), table, table.select("sid", "k"), 80)
+    assert {(r.a, r.b) for r in links.collect()} == {tuple(sorted((ids[3], ids[78])))}
+    assert sorted((r.sig, r.sid, r.n) for r in rest.collect()) == sorted((g, i, len(sets[i])) for g in (2, 3) for i in buckets[g])
+
+
 def _meet(blocks):
     """Sharers of each signature, by the shards of the blocks."""
     table, found = pa.Table.from_batches(blocks), defaultdict(set)
