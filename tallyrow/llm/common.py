@@ -119,6 +119,12 @@ def discard(*tables: DataFrame | None) -> None:
             fs.delete(jpath, True)
 
 
+def stored(table: DataFrame) -> int:
+    """Bytes of a staged table's files."""
+    jpath, fs = _file_system(table.sparkSession, table.staged_at)
+    return fs.getContentSummary(jpath).getLength()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to; else they stay until the driver happens to collect its garbage.
 

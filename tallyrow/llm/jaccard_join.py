@@ -30,7 +30,8 @@ threshold g.
    the links across components without making all pairs of a bucket. Every pair not
    compared is in one component by then or can't be linked, so no link is lost.
    Sketches are also compared before sets are sent to their leaders.
-5. components(): alternating large-star and small-star steps, in tables.
+5. components(): alternating large-star and small-star steps, in tables; at most UNITED
+   edges are united by one task instead, which takes no exchange.
 
 Staged tables are deleted once nothing reads them.
 
@@ -52,13 +53,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrow.llm.bytescan import LOWER, hashes, mix, spans, texts_of
-from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, freeing, give_back, join_small, marked, packed, release, ship, staged, trim_driver
+from tallyrow.llm.common import BROADCAST_ROWS, discard, documents, freeing, give_back, join_small, marked, packed, release, ship, staged, stored, trim_driver
 
 #: Words of a shingle, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 3, 90
 N2, K2 = 3, 1
-#: Members' sets go to their leaders in so many parts, one after the other, so that their shuffle takes a part of the disk.
-SLICES = 4
+#: Members' sets go to their leaders in so many parts at most, one after the other, so that their shuffle takes a part of the disk; and about how many bytes a part has where fewer parts do.
+SLICES, SLICE = 4, 1 << 25
+#: Edges whose components one task finds (16 bytes an edge); each step in tables takes several exchanges, however few they are.
+UNITED = BROADCAST_ROWS
 #: Bits of a set's sketch, a power of two: each element flips one.
 SKETCH = 1 << 10
 #: Rounds before remaining(): leaders, sketches of small buckets, leaders.
@@ -350,6 +353,26 @@ def _by_sketch(percent: int):
     return run
 
 
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b) but the least of each component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        least = np.minimum(root[u], root[v])
+        for x in (u, v):
+            np.minimum.at(root, root[x], least)
+        while (root[root] != root).any():
+            root = root[root]
+    rest = root != np.arange(len(nodes))
+    return nodes[rest], nodes[root[rest]]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.zeros((2, 0), np.int64), *(np.stack([batch.column(c).to_numpy() for c in ("u", "v")]) for batch in batches)]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in united(*np.concatenate(held, axis=1))], ["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's least node) of edges (a, b), a != b; staged.
 
@@ -357,6 +380,10 @@ def components(edges: DataFrame) -> DataFrame:
     has an exchange of its own and a hub's edges can be split.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    if edges.count() <= UNITED:
+        out = staged(edges.coalesce(1).mapInArrow(freeing(_united), "node long, comp long"), "star")
+        discard(edges)
+        return out
     seen = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -530,9 +557,11 @@ def paired(open_: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int)
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), staged, of pairs (sid, y; staged, deleted here), by their sets."""
-    made = []
-    for k in range(SLICES):
-        own = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(SLICES)) == k)
+    made, size = [], stored(sets)
+    size += size * pairs.count() // max(1, sets.count())  # a set goes to its leader once for each pair
+    slices = min(SLICES, size // SLICE + 1)
+    for k in range(slices):
+        own = pairs.filter(F.pmod(F.xxhash64("y"), F.lit(slices)) == k)
         leaders = _these(sets, own.select(F.col("y").alias("sid"))).select(F.col("sid").alias("y"), F.col("s").alias("sy"))
         # Merged at every size: sets are too large to be broadcast on all but small tables.
         both = own.join(_these(sets, own).hint("merge"), "sid").join(leaders.hint("merge"), "y").withColumn("i", F.size(F.array_intersect("s", "sy")))
@@ -542,8 +571,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     out = made[0]
     for x in made[1:]:
         out = out.union(x)
-    out = staged(out, "links")
-    discard(pairs, *made)
+    if slices > 1:
+        out = staged(out, "links")
+        discard(*made)
+    discard(pairs)
     return out
 
 

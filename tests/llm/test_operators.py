@@ -493,3 +493,32 @@ def test_remaining_frees_all_sets_before_the_codes(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == comp
     assert seen == [False] and len(made["open-sets"]) == jaccard_join.SLICES
+
+
+@pytest.mark.parametrize("most", [0, 1 << 10])
+def test_components_of_few_edges_take_no_steps(spark, monkeypatch, most):
+    """A long chain, a star, a ring and loose pairs: the same components in tables and by one task, which stages two tables only."""
+    rng, made, staged = np.random.default_rng(8), [], jaccard_join.staged
+    ids = rng.permutation(np.arange(-60, 60)).tolist()
+    edges = [*zip(ids[:40], ids[1:41], strict=True), *((ids[50], x) for x in ids[51:70]), *zip(ids[70:80], [*ids[71:80], ids[70]], strict=True), *zip(ids[80:90], ids[90:100], strict=True)]
+    edges += [(b, a) for a, b in edges[::3]]
+    parts = [ids[:41], ids[50:70], ids[70:80], *map(list, zip(ids[80:90], ids[90:100], strict=True))]
+    monkeypatch.setattr(jaccard_join, "UNITED", most, raising=False)
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name, **options: made.append(name) or staged(df, name, **options))
+    got = {r.node: r.comp for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(p) for p in parts for x in p if x != min(p)}
+    assert len(made) == 2 if most else len(made) > 8
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("size", "tables"), [(1 << 25, 1), (1, 5)])
+def test_small_sets_go_to_their_leaders_at_once(spark, monkeypatch, size, tables):
+    """Sets of few bytes in one part, others in as many as before; the links are the same."""
+    made, staged = [], jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "SLICE", size, raising=False)
+    sets = staged(spark.createDataFrame([(i, list(range(i, i + 100))) for i in range(12)], "sid long, s array<long>"), "sets")
+    pairs = staged(spark.createDataFrame([(i, j) for i in range(12) for j in range(i)], "sid long, y long"), "pairs")
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name, **options: made.append(name) or staged(df, name, **options))
+    got = sorted((r.a, r.b) for r in jaccard_join._linked(pairs, sets, 90).collect())
+    assert got == sorted((j, i) for i in range(12) for j in range(i) if 100 * (100 - i + j) >= 90 * (100 + i - j))
+    assert made == ["links"] * tables
